@@ -9,7 +9,7 @@ from ..operators import changes, dedupe, enrich, lookups, normalize, stats
 from ..operators.joins import keep_matching
 from ..plans import imports
 from ..plans.store import Store
-from ..schemas import LEAK_CSV_COLUMNS, LEAK_DATA, LEAK_UPDATABLE, LINEAGE, SPYCLOUD_COLUMNS
+from ..schemas import LEAK_CSV_COLUMNS, LEAK_DATA, LEAK_UPDATABLE, SPYCLOUD_COLUMNS
 from ..session import scratch_path
 from ..sources import files
 from ..streaming.folder import stream_import
@@ -101,7 +101,7 @@ def _write_feed(t, rows, name, columns=SPYCLOUD_COLUMNS, split=1):
     )
 )
 def scan_na_tokens(t):
-    rows, _ = files.scan_spycloud(t.spark, _write_feed(t, t.feed, "feed-csv", split=8))
+    rows = files.scan_spycloud(t.spark, _write_feed(t, t.feed, "feed-csv", split=8))
     return rows.select(*_CELLS)
 
 
@@ -115,7 +115,7 @@ def scan_na_tokens(t):
 def scan_tag_leak(t):
     written = t.batch.withColumns({c: F.col(c).cast("string") for c in LEAK_CSV_COLUMNS})
     folder = _write_feed(t, written, "leak-csv", LEAK_CSV_COLUMNS, split=8)
-    rows, _ = files.scan_leak_csv(t.spark, folder, leak_id=7)
+    rows = files.scan_leak_csv(t.spark, folder, leak_id=7)
     return rows.select(
         "leak_id", "email", "password", "password_plain", "domain", "ip", "email_verified", "infected_machine"
     )
@@ -137,8 +137,8 @@ def scan_quarantine(t):
     lines = t.given("events").selectExpr(*derived.projection(_LINES))
     folder = scratch_path(t.spark, "lines")
     lines.write.text(folder)
-    _, rejected = files.scan_csv(t.spark, folder, ["email", "password"], header=["email", "password"], has_header=False)
-    return rejected.select("original_line", "error_msg")
+    scan = files.scan_csv(t.spark, folder, ["email", "password"], header=["email", "password"], has_header=False)
+    return files.split_bad_lines(scan)[1].select("original_line", "error_msg")
 
 
 @query(
@@ -150,8 +150,8 @@ def scan_short_lines(t):
     lines = t.given("events").selectExpr(*derived.projection(_LINES))
     folder = scratch_path(t.spark, "lines")
     lines.write.text(folder)
-    rows, _ = files.scan_csv(t.spark, folder, ["email", "password"], header=["email", "password"], has_header=False)
-    return rows.select("email", "password")
+    scan = files.scan_csv(t.spark, folder, ["email", "password"], header=["email", "password"], has_header=False)
+    return files.split_bad_lines(scan)[0].select("email", "password")
 
 
 @query(oracle(LEAK_TEXT + "leak", "leak"))
@@ -790,11 +790,7 @@ _IMPORT = f"{_CLEARED}, {_MAPPED}, {_JUDGED}, {_KEPT}"
 
 def _import(t, **options):
     reference = imports.Reference(vips=t.vips, directory=t.directory)
-    rows = t.feed
-    nothing = rows.limit(0).select(
-        F.lit("").alias("original_line"), F.lit("").alias("error_msg"), *LINEAGE
-    )
-    return imports.import_feed(rows, nothing, stored=t.store, leak_id=1, reference=reference, **options)
+    return imports.import_feed(t.feed, stored=t.store, leak_id=1, reference=reference, **options)
 
 
 _OWNER = _INTERNAL.replace("email", "k.email")
@@ -849,21 +845,27 @@ def import_report(t):
     )
 )
 def import_by_leak(t):
-    """Entry B over the same batch, read from CSV: ids touched and what their counters gain."""
+    """Entry B over the same batch as text cells: ids touched and what their counters gain."""
     flat = t.batch.withColumns({c: F.col(c).cast("string") for c in ["leak_id", *LEAK_CSV_COLUMNS]})
     lineage = [F.lit("batch").alias("src_file"), F.lit(0).cast("long").alias("src_block"), F.col("id").alias("src_ord")]
     rows = flat.select(F.col("leak_id").cast("long").alias("leak_id"), *LEAK_CSV_COLUMNS, *lineage)
-    nothing = rows.limit(0).select(F.lit("").alias("original_line"), F.lit("").alias("error_msg"), *LINEAGE)
-    done = imports.import_rows_of_leak(rows, nothing, stored=t.target, leaks=t.leak, leak_id=1)
+    done = imports.import_rows_of_leak(rows, stored=t.target, leaks=t.leak, leak_id=1)
     return done.raises.unionByName(done.inserts.select("id", F.col("count_seen").alias("n")))
 
 
+# Landing files go through the scan first, which knows more spellings of "missing" than the parser.
+_SCANNED = "cleared as (select * replace (" + ", ".join(
+    f"case when {c} not in ({quoted([*SPYCLOUD_NA, 'nan', 'Unknown'] if c == 'breach_date' else [*SPYCLOUD_NA, 'nan'])}) "
+    f"then {c} end as {c}" for c in SPYCLOUD_COLUMNS
+) + ") from plain_feed)"
+
+
 @query(
     oracle(
         "select email_stored as email, password, domain, count(*) as rows, cast(sum(1) as bigint) as times_seen "
         "from (select *, row_number() over (partition by email_stored, password order by src_ord) as rn from judged "
         "where error_msg is null) where rn = 1 group by 1, 2, 3", "plain_feed",
-        also=f"{_CLEARED.replace('from feed', 'from plain_feed')}, {_MAPPED}, {_JUDGED}",
+        also=f"{_SCANNED}, {_MAPPED}, {_JUDGED}",
     )
 )
 def stream_import_feed(t):

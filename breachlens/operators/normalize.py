@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.values import COLUMN_SENTINELS, CREDENTIAL_TYPES, SENTINELS
-from ..schemas import CANONICAL, LEAK_DATA_WRITABLE, LINEAGE, SPYCLOUD_COLUMNS, SPYCLOUD_REQUIRED
+from ..schemas import CANONICAL, LEAK_CSV_COLUMNS, LEAK_DATA_WRITABLE, LINEAGE, SPYCLOUD_COLUMNS, SPYCLOUD_REQUIRED
+from ..sources.files import BAD_LINE, TOO_LONG
 
 # Vendor column -> internal column. All the others are dropped.
 FULL_MAPPING = {
@@ -31,8 +32,8 @@ BY_NAME_MAPPING = {
 
 def clear_sentinels(rows: DataFrame, columns=None) -> DataFrame:
     """``-`` and ``nan`` anywhere, and ``Unknown`` as a breach date, become NULL."""
-    texts = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string" and f.name not in LINEAGE]
-    columns = texts if columns is None else columns
+    texts = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
+    columns = [c for c in texts if c not in (BAD_LINE, *LINEAGE)] if columns is None else columns
     tokens = {c: SENTINELS + COLUMN_SENTINELS.get(c, []) for c in columns}
     return rows.withColumns({c: text.blank_to_null(F.col(c), tokens[c]) for c in columns})
 
@@ -54,15 +55,17 @@ def check_input(rows: DataFrame) -> DataFrame:
     missing = [(F.col(c).isNull(), f"{c}: field required") for c in SPYCLOUD_REQUIRED]
     sighting = F.col("sighting")
     wrong = (sighting.isNotNull() & F.trim(sighting).try_cast("int").isNull(), "sighting: not an integer")
-    checked = rows.withColumn("error_msg", reasons(*missing, wrong))
+    checked = _judged(rows, reasons(*missing, wrong), SPYCLOUD_COLUMNS)
     bad = F.col("error_msg").isNotNull()
-    return checked.withColumns(
-        {
-            "notify": ~bad,
-            "needs_human_intervention": bad,
-            "original_line": F.when(bad, F.to_json(F.struct(*SPYCLOUD_COLUMNS))),
-        }
-    )
+    return checked.withColumns({"notify": ~bad, "needs_human_intervention": bad})
+
+
+def _judged(rows, problem, originals):
+    """Add ``error_msg`` and ``original_line``. A line the scan could not use has no other problem than that."""
+    line = F.col(BAD_LINE) if BAD_LINE in rows.columns else F.lit(None).cast("string")
+    checked = rows.withColumn("error_msg", F.when(line.isNotNull(), F.lit(TOO_LONG)).otherwise(problem))
+    original = F.coalesce(line, F.to_json(F.struct(*originals)))
+    return checked.withColumn("original_line", F.when(F.col("error_msg").isNotNull(), original)).drop(BAD_LINE)
 
 
 def to_internal(rows: DataFrame, mapping=None) -> DataFrame:
@@ -96,7 +99,7 @@ def leak_csv_to_internal(rows: DataFrame) -> DataFrame:
     mandatory = [(F.col(c).isNull(), f"{c}: must not be empty") for c in ("email", "password", "dg")]
     wrong = [(F.col(c).isNotNull() & text.flag(F.col(c)).isNull(), f"{c}: not a boolean") for c in flags]
     ip = (F.col("ip").isNotNull() & ~text.ip_is_valid(F.col("ip")), "ip: not an address")
-    checked = rows.withColumn("error_msg", reasons(*mandatory, *wrong, ip))
+    checked = _judged(rows, reasons(*mandatory, *wrong, ip), LEAK_CSV_COLUMNS)
     return checked.withColumns({c: text.flag(F.col(c)) for c in flags})
 
 

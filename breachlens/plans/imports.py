@@ -52,7 +52,6 @@ _ASIDE = ["original_line", "error_msg", *LINEAGE]
 
 def import_feed(
     rows: DataFrame,
-    rejected: DataFrame,
     *,
     stored: DataFrame,
     leak_id: int,
@@ -103,21 +102,12 @@ def import_feed(
     outcome = outcome.withColumn("email", F.col("email_stored")).drop("email_stored")
     outcome = staged(outcome, "outcome")
     resolved, inserts, raises = _plan(stored, outcome, first_id, max_broadcast_rows)
-    aside = staged(bad.select(*_ASIDE).unionByName(rejected.select(*_ASIDE)), "rejected")
-    n_rejected = aside.count()
-    counted = judged.agg(
-        F.count("*").alias("rows"),
-        F.count_if("error_msg is null and not passes").alias("filtered"),
-        F.count_if("error_msg is not null").alias("bad"),
-    ).first()
-    rows_in = counted.rows + n_rejected - counted.bad
-    report = _report(outcome, resolved, rows_in, n_rejected, counted.filtered, began)
-    return ImportResult(outcome, aside, inserts, raises, report)
+    report = _report(judged, outcome, resolved, began)
+    return ImportResult(outcome, bad.select(*_ASIDE), inserts, raises, report)
 
 
 def import_rows_of_leak(
     rows: DataFrame,
-    rejected: DataFrame,
     *,
     stored: DataFrame,
     leaks: DataFrame,
@@ -129,18 +119,11 @@ def import_rows_of_leak(
     began = time.monotonic()
     if leaks.filter(F.col("id") == leak_id).limit(2).count() != 1:
         raise UnknownLeak(f"leak {leak_id} not found")
-    judged = normalize.leak_csv_to_internal(rows)
-    originals = [c for c in rows.columns if c not in LINEAGE]
-    judged = judged.withColumn(
-        "original_line", F.when(F.col("error_msg").isNotNull(), F.to_json(F.struct(*originals)))
-    )
-    judged = staged(judged, "feed")
+    judged = staged(normalize.leak_csv_to_internal(rows).withColumn("passes", F.lit(True)), "feed")
     good, bad = normalize.split_valid(judged)
     resolved, inserts, raises = _plan(stored, good, first_id, max_broadcast_rows)
-    aside = staged(bad.select(*_ASIDE).unionByName(rejected.select(*_ASIDE)), "rejected")
-    n_rejected = aside.count()
-    report = _report(good, resolved, good.count() + n_rejected, n_rejected, 0, began)
-    return ImportResult(good, aside, inserts, raises, report)
+    report = _report(judged, good, resolved, began)
+    return ImportResult(good, bad.select(*_ASIDE), inserts, raises, report)
 
 
 def _plan(stored, batch, first_id, max_broadcast_rows):
@@ -161,20 +144,25 @@ def touched_rows(stored: DataFrame, result: ImportResult) -> DataFrame:
     return stored.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "id")
 
 
-def _report(outcome, resolved, rows_in, rejected, filtered, began) -> DataFrame:
-    """The answer's envelope and the books: rows_in = kept + duplicates + filtered + rejected."""
-    tally = resolved.agg(
-        F.count_if("id is null").alias("inserted"), F.count_if("id is not null").alias("raised")
-    )
+def _report(judged, outcome, resolved, began) -> DataFrame:
+    """The answer's envelope and the books: rows_in = count + duplicates + filtered + rejected."""
+    bad = F.col("error_msg").isNotNull()
+    feed = judged.agg(
+        F.count("*").alias("rows_in"),
+        F.count_if(~bad & ~F.col("passes")).alias("filtered"),
+        F.count_if(bad).alias("rejected"),
+    ).first()
+    new = F.col("id").isNull()
+    tally = resolved.agg(F.count_if(new).alias("inserted"), F.count_if(~new).alias("raised"))
     kept = outcome.count()
     return tally.select(
         F.lit(__version__).alias("version"),
         F.lit(round(time.monotonic() - began, 3)).alias("duration"),
         F.lit(kept).cast("long").alias("count"),
-        F.lit(rows_in).cast("long").alias("rows_in"),
-        F.lit(rows_in - kept - filtered - rejected).cast("long").alias("duplicates"),
-        F.lit(filtered).cast("long").alias("filtered"),
-        F.lit(rejected).cast("long").alias("rejected"),
+        F.lit(feed.rows_in).cast("long").alias("rows_in"),
+        F.lit(feed.rows_in - kept - feed.filtered - feed.rejected).cast("long").alias("duplicates"),
+        F.lit(feed.filtered).cast("long").alias("filtered"),
+        F.lit(feed.rejected).cast("long").alias("rejected"),
         "inserted",
         "raised",
         F.lit(True).alias("success"),
@@ -198,15 +186,14 @@ def import_spycloud_files(
     **options,
 ) -> ImportResult:
     """Files -> store. The leak is found by (summary, ticket) or created."""
-    rows, rejected = scan_spycloud(spark, paths)
     return import_scanned_feed(
-        spark, store, rows, rejected, ticket_id=ticket_id, summary=summary, reference=reference, run_ts=run_ts,
-        batch=batch, **options,
+        spark, store, scan_spycloud(spark, paths), ticket_id=ticket_id, summary=summary, reference=reference,
+        run_ts=run_ts, batch=batch, **options,
     )
 
 
 def import_scanned_feed(
-    spark, store: Store, rows, rejected, *, ticket_id, summary, reference, run_ts, batch, **options
+    spark, store: Store, rows, *, ticket_id, summary, reference, run_ts, batch, **options
 ) -> ImportResult:
     if not ticket_id or not summary:
         raise ValueError("an import needs a ticket id and a summary")
@@ -216,7 +203,7 @@ def import_scanned_feed(
     )
     leak_id = pairs.first()["leak_id"]
     result = import_feed(
-        rows, rejected, stored=store.rows(), leak_id=leak_id, reference=reference, first_id=store.next_id(), **options
+        rows, stored=store.rows(), leak_id=leak_id, reference=reference, first_id=store.next_id(), **options
     )
     store.commit(batch, inserts=result.inserts, raises=result.raises, leaks=created)
     return result
@@ -224,9 +211,8 @@ def import_scanned_feed(
 
 def import_leak_files(spark, store: Store, paths, *, leak_id: int, batch: str, **options) -> ImportResult:
     """Generic CSV files -> store, under a leak that must exist."""
-    rows, rejected = scan_leak_csv(spark, paths, leak_id)
     result = import_rows_of_leak(
-        rows, rejected.drop("leak_id"), stored=store.rows(), leaks=store.leaks(), leak_id=leak_id,
+        scan_leak_csv(spark, paths, leak_id), stored=store.rows(), leaks=store.leaks(), leak_id=leak_id,
         first_id=store.next_id(), **options,
     )
     store.commit(batch, inserts=result.inserts, raises=result.raises)

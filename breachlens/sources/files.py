@@ -2,7 +2,8 @@
 
 Every cell is read as text: inference would cost a second pass and would strip leading zeros from passwords.
 Columns are bound by the name in the header, whatever their order. Lines with too many fields are set aside with a
-reason; lines with too few are padded with NULL.
+reason; lines with too few are padded with NULL. Both come out of one pass: a scan has a ``bad_line`` column, which is
+NULL on usable rows.
 """
 
 from pyspark.errors import AnalysisException
@@ -14,7 +15,12 @@ from ..functions.text import blank_to_null, strip
 from ..functions.values import GENERIC_NA, SPYCLOUD_NA
 from ..schemas import LEAK_CSV_COLUMNS, LINEAGE, SPYCLOUD_COLUMNS, all_text
 
-BAD_LINE = "_bad_line"
+BAD_LINE = "bad_line"
+TOO_LONG = "too many fields"
+CORRUPT = "_corrupt_record"
+
+# Every line is split whole, or a query for few columns would not see that a line has too many.
+PARSING = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": False}
 
 
 def header_of(spark: SparkSession, paths, sep: str = ",") -> list[str]:
@@ -46,32 +52,41 @@ def field_count(line: Column, sep: str = ",") -> Column:
 def scan_csv(
     spark: SparkSession, paths, columns, *, na=GENERIC_NA, sep=",", multi_line=False, header=None, has_header=True
 ):
-    """(rows, rejected) from CSV files with one common header.
+    """Rows of CSV files with one common header.
 
-    ``rows`` has exactly ``columns`` (missing ones NULL, unknown ones ignored), with ``na`` cells NULL, plus lineage.
-    ``rejected`` has the raw line and a reason. A file whose header differs from the first one's
-    fails the read rather than being misread; ``has_header=False`` takes the names from ``header``. ``multi_line`` allows line breaks in quotes; such files are
-    not split among tasks.
+    The result has exactly ``columns`` (missing ones NULL, unknown ones ignored) with ``na`` cells NULL, then ``bad_line``
+    and the lineage. A file whose header differs from the first one's fails the read rather than being
+    misread; ``has_header=False`` takes the names from ``header``. ``multi_line`` allows line breaks in quotes;
+    such files are not split among tasks.
     """
     header = header or header_of(spark, paths, sep)
-    schema = T.StructType(all_text(header).fields + [T.StructField(BAD_LINE, T.StringType())])
     reader = spark.read.options(header=has_header, sep=sep, escape='"', enforceSchema=False, multiLine=multi_line)
-    scan = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_LINE).schema(schema).csv(paths)
-    return split_scan(with_lineage(scan), header, columns, na=na, sep=sep)
+    scan = reader.options(**PARSING).schema(raw_schema(header)).csv(paths)
+    return cells(with_lineage(scan), header, columns, na=na, sep=sep)
+
+
+def raw_schema(header):
+    return T.StructType(all_text(header).fields + [T.StructField(CORRUPT, T.StringType())])
 
 
-def split_scan(scan: DataFrame, header, columns, *, na=GENERIC_NA, sep=","):
-    """The same split for a batch or stream whose columns were read in ``header`` order."""
-    too_long = F.col(BAD_LINE).isNotNull() & (field_count(F.col(BAD_LINE), sep) > len(header))
+def cells(scan: DataFrame, header, columns, *, na=GENERIC_NA, sep=",") -> DataFrame:
+    """A raw batch or stream in ``header`` order -> the scan's result. Spark marks long and short lines alike."""
+    # Spark refuses to read the corrupt-record column alone, so the test names a cell too.
+    present = F.length(F.coalesce(F.col(f"`{header[0]}`"), F.lit(""))) >= 0
+    too_long = F.col(CORRUPT).isNotNull() & (field_count(F.col(CORRUPT), sep) > len(header)) & present
     have = set(header)
-    cells = [
+    values = [
         (blank_to_null(F.col(f"`{c}`"), na) if c in have else F.lit(None).cast("string")).alias(c) for c in columns
     ]
-    rows = scan.filter(~too_long).select(*cells, *LINEAGE)
-    rejected = scan.filter(too_long).select(
-        F.col(BAD_LINE).alias("original_line"), F.lit("too many fields").alias("error_msg"), *LINEAGE
+    return scan.select(*values, F.when(too_long, F.col(CORRUPT)).alias(BAD_LINE), *LINEAGE)
+
+
+def split_bad_lines(scan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable rows, rejected lines with their reason)."""
+    rejected = scan.filter(F.col(BAD_LINE).isNotNull())
+    return scan.filter(F.col(BAD_LINE).isNull()).drop(BAD_LINE), rejected.select(
+        F.col(BAD_LINE).alias("original_line"), F.lit(TOO_LONG).alias("error_msg"), *LINEAGE
     )
-    return rows, rejected
 
 
 def scan_spycloud(spark, paths, **options):
@@ -81,18 +96,16 @@ def scan_spycloud(spark, paths, **options):
 
 def scan_leak_csv(spark, paths, leak_id: int, columns=LEAK_CSV_COLUMNS, **options):
     """The generic layout, each row tagged with its leak."""
-    rows, rejected = scan_csv(spark, paths, columns, **options)
-    tag = F.lit(leak_id).cast("long").alias("leak_id")
-    return rows.select(tag, "*"), rejected.select(tag, "*")
+    return scan_csv(spark, paths, columns, **options).select(F.lit(leak_id).cast("long").alias("leak_id"), "*")
 
 
 def collect_csv(spark, paths, columns, **options) -> tuple[str, DataFrame]:
     """("OK", rows), or (what went wrong, no rows) when the files cannot be opened."""
     try:
-        return "OK", scan_csv(spark, paths, columns, **options)[0]
+        return "OK", scan_csv(spark, paths, columns, **options)
     except AnalysisException as problem:
         lineage = T.StructType(
-            [T.StructField("src_file", T.StringType())]
+            [T.StructField(c, T.StringType()) for c in (BAD_LINE, "src_file")]
             + [T.StructField(c, T.LongType()) for c in LINEAGE[1:]]
         )
         return str(problem), spark.createDataFrame([], T.StructType(all_text(columns).fields + lineage.fields))

@@ -6,13 +6,12 @@ import as for files; the store knows a batch by stream name and number and takes
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.values import SPYCLOUD_NA
 from ..plans.imports import Reference, import_scanned_feed
 from ..plans.store import Store
-from ..schemas import SPYCLOUD_COLUMNS, all_text
-from ..sources.files import BAD_LINE, split_scan
+from ..schemas import SPYCLOUD_COLUMNS
+from ..sources.files import PARSING, cells, raw_schema
 
 
 def stream_import(
@@ -36,10 +35,9 @@ def stream_import(
     ``name`` identifies the stream in the store's log; give a new checkpoint folder a new name.
     """
     header = list(header or SPYCLOUD_COLUMNS)
-    schema = T.StructType(all_text(header).fields + [T.StructField(BAD_LINE, T.StringType())])
-    reader = spark.readStream.options(header=True, escape='"', enforceSchema=False, mode="PERMISSIVE")
+    reader = spark.readStream.options(header=True, escape='"', enforceSchema=False, **PARSING)
     arriving = (
-        reader.options(columnNameOfCorruptRecord=BAD_LINE, maxFilesPerTrigger=files_per_batch).schema(schema).csv(landing)
+        reader.option("maxFilesPerTrigger", files_per_batch).schema(raw_schema(header)).csv(landing)
     )
     placed = arriving.select(
         "*", F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("src_block")
@@ -50,9 +48,9 @@ def stream_import(
         if store.has(batch):
             return
         numbered = batch_df.withColumn("src_ord", F.monotonically_increasing_id())
-        rows, rejected = split_scan(numbered, header, SPYCLOUD_COLUMNS, na=SPYCLOUD_NA)
+        rows = cells(numbered, header, SPYCLOUD_COLUMNS, na=SPYCLOUD_NA)
         import_scanned_feed(
-            batch_df.sparkSession, store, rows, rejected, ticket_id=ticket_id, summary=summary, reference=reference,
+            batch_df.sparkSession, store, rows, ticket_id=ticket_id, summary=summary, reference=reference,
             run_ts=F.current_timestamp() if run_ts is None else run_ts, batch=batch, **options,
         )
 
