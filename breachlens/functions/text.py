@@ -24,7 +24,8 @@ def match_key(column: Column) -> Column:
 
 
 def strip(column: Column) -> Column:
-    return F.regexp_replace(column, r"^\s+|\s+$", "")
+    """Without white space of any kind at either end."""
+    return F.btrim(column, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def domain_of(email: Column) -> Column:
@@ -66,7 +67,8 @@ def email_is_valid(email: Column) -> Column:
 
 def normalize_email(email: Column) -> Column:
     """The stored form: no outer white space, no ``Name <...>`` wrapping, lower-case host."""
-    bare = strip(F.regexp_replace(email, r"^[\w ]*? *<(.*)> *$", "$1"))
+    unwrapped = F.when(F.contains(email, F.lit("<")), F.regexp_replace(email, r"^[\w ]*? *<(.*)> *$", "$1"))
+    bare = strip(F.coalesce(unwrapped, email))
     local = F.substring_index(bare, "@", 1)
     return F.concat(local, F.lower(F.substring(bare, F.char_length(local) + 1, F.char_length(bare))))
 
@@ -80,10 +82,10 @@ def _ipv6_pattern() -> str:
     # 8 groups; or `::` standing for the missing ones; the last two groups may be dotted.
     tail = rf"(?:{_H}:{_H}|{_V4})"
     shapes = [rf"(?:{_H}:){{6}}{tail}"]
-    for before in range(0, 7):
+    for before in range(0, 8):
         head = rf"(?:{_H}(?::{_H}){{0,{before - 1}}})?" if before else ""
         after = 6 - before
-        ends = [rf"(?:{_H}:){{{n}}}{tail}" for n in range(0, after)] + [_H, ""]
+        ends = [rf"(?:{_H}:){{{n}}}{tail}" for n in range(0, after)] + ([_H, ""] if before < 7 else [""])
         shapes.append(rf"{head}::(?:{'|'.join(ends)})")
     return "|".join(shapes)
 
@@ -92,7 +94,8 @@ IP_PATTERN = rf"^(?:{_V4}|{_ipv6_pattern()})$"
 
 
 def ip_is_valid(ip: Column) -> Column:
-    return ip.rlike(IP_PATTERN)
+    """Both address families; text without a colon need only be tried against the short pattern."""
+    return F.when(F.contains(ip, F.lit(":")), ip.rlike(IP_PATTERN)).otherwise(ip.rlike(f"^{_V4}$"))
 
 
 def flag(column: Column) -> Column:

@@ -2,7 +2,7 @@
 
 The reference tables (VIPs, directory, asked keys, leaks) are usually small, and then a broadcast join reads
 the big side once without a shuffle. That is only done behind a count. Above the bound the big side is shuffled,
-except for rows of *heavy* keys: a frequent-items sketch names them, their few table rows are
+except for rows of *heavy* keys: frequent-items sketches name them, their few table rows are
 broadcast, and the rows themselves are spread evenly instead of being sent to one task.
 """
 
@@ -23,16 +23,18 @@ def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def heavy_hashes(rows: DataFrame, keys) -> DataFrame:
     """At most ``HEAVY_KEYS`` hashes, among them those of every key that owns a large share of ``rows``.
 
-    One small sketch per input task, merged in two steps, so no key column is shuffled. The result only
+    Each input task sends one bounded sketch and no keys; the sketches' leaders are added up. The result only
     steers where rows go; a key missed or named without need changes no result.
     """
-    sketched = (
-        rows.select(F.xxhash64(*keys).alias("_h"), F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)).alias("_g"))
+    group = F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS))
+    leaders = (
+        rows.select(F.xxhash64(*keys).alias("_h"), group.alias("_g"))
         .groupBy("_g")
-        .agg(F.expr(f"approx_top_k_accumulate(_h, {_TRACKED})").alias("_s"))
-        .agg(F.expr(f"approx_top_k_combine(_s, {_TRACKED})").alias("_s"))
+        .agg(F.expr(f"approx_top_k(_h, {HEAVY_KEYS}, {_TRACKED})").alias("_top"))
+        .select(F.inline("_top"))
     )
-    return sketched.select(F.expr(f"inline(approx_top_k_estimate(_s, {HEAVY_KEYS}))")).select(F.col("item").alias("_h"))
+    ranked = leaders.groupBy("item").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "item")
+    return ranked.limit(HEAVY_KEYS).select(F.col("item").alias("_h"))
 
 
 def lookup(

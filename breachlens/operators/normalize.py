@@ -1,5 +1,7 @@
 """From scanned text to typed internal rows, with a reason on every row that fails."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +47,9 @@ def clear_nan(rows: DataFrame) -> DataFrame:
 
 
 def reasons(*tests) -> Column:
-    """Texts of the (condition, text) pairs that hold, or NULL if none does."""
-    found = F.concat_ws("; ", *[F.when(condition, F.lit(why)) for condition, why in tests])
-    return F.nullif(found, F.lit(""))
+    """Texts of the (condition, text) pairs that hold, or NULL if none does; good rows build no text."""
+    some = reduce(lambda a, b: a | b, [condition for condition, _ in tests])
+    return F.when(some, F.concat_ws("; ", *[F.when(condition, F.lit(why)) for condition, why in tests]))
 
 
 def check_input(rows: DataFrame) -> DataFrame:
@@ -104,11 +106,11 @@ def leak_csv_to_internal(rows: DataFrame) -> DataFrame:
 
 
 def output_problems() -> Column:
-    """Why an internal row cannot be stored, or NULL."""
+    """Why an internal row with ``email_stored`` cannot be stored, or NULL."""
     kinds = F.col("credential_type")
     return reasons(
         (F.col("leak_id").isNull(), "leak_id: field required"),
-        (~text.email_is_valid(text.normalize_email(F.col("email"))), "email: not a valid address"),
+        (~text.email_is_valid(F.col("email_stored")), "email: not a valid address"),
         (F.col("password").isNull(), "password: field required"),
         (F.col("ip").isNotNull() & ~text.ip_is_valid(F.col("ip")), "ip: not an address"),
         (
@@ -125,16 +127,23 @@ def to_output(rows: DataFrame) -> DataFrame:
 
     Rows that already carry an ``error_msg`` keep it.
     """
-    problem = F.coalesce(F.col("error_msg"), output_problems())
-    checked = rows.withColumn("error_msg", problem)
+    checked = check_output(rows)
     bad = F.col("error_msg").isNotNull()
     return checked.withColumns(
         {
-            "email": F.when(bad, F.col("email")).otherwise(text.normalize_email(F.col("email"))),
+            "email": F.when(bad, F.col("email")).otherwise(F.col("email_stored")),
             "notify": F.col("notify") & ~bad,
             "needs_human_intervention": F.col("needs_human_intervention") | bad,
         }
-    ).drop("external_user", "is_active_account")
+    ).drop("external_user", "is_active_account", "email_stored")
+
+
+def check_output(rows: DataFrame) -> DataFrame:
+    """Add ``email_stored`` and complete ``error_msg``; a row that is found wrong gets its original noted."""
+    stored = rows.withColumn("email_stored", text.normalize_email(F.col("email")))
+    judged = stored.withColumn("error_msg", F.coalesce("error_msg", output_problems()))
+    noted = F.coalesce("original_line", F.to_json(F.struct("email", "password", "domain", "ip")))
+    return judged.withColumn("original_line", F.when(F.col("error_msg").isNotNull(), noted))
 
 
 def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..functions.text import normalize_email
 from ..functions.values import DEFAULT_CREDENTIAL_TYPE, SPYCLOUD_SOURCE
 from ..operators import changes, dedupe, normalize
 from ..operators.enrich import enrich
@@ -70,18 +69,8 @@ def import_feed(
     began = time.monotonic()
     checked = normalize.check_input(normalize.clear_sentinels(rows))
     internal = normalize.to_internal(checked, mapping).withColumn("leak_id", F.lit(leak_id).cast("long"))
-    judged = internal.withColumn("error_msg", F.coalesce("error_msg", normalize.output_problems()))
-    judged = judged.withColumns(
-        {
-            "email_stored": normalize_email(F.col("email")),
-            "passes": F.lit(True) if row_filter is None else F.coalesce(row_filter, F.lit(False)),
-            # A row found wrong only now has its internal form as its original.
-            "original_line": F.when(
-                F.col("error_msg").isNotNull(),
-                F.coalesce("original_line", F.to_json(F.struct("email", "password", "domain", "ip"))),
-            ),
-        }
-    )
+    passes = F.lit(True) if row_filter is None else F.coalesce(row_filter, F.lit(False))
+    judged = normalize.check_output(internal).withColumn("passes", passes)
     judged = staged(judged, "feed")
     good, bad = normalize.split_valid(judged)
     if strict and not bad.isEmpty():

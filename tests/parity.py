@@ -42,7 +42,10 @@ def table(names, rows):
 
 def compare(spark, connection, folder, query, sql):
     """(rows, difference or None)"""
-    df = query(spark, str(folder))
+    return compare_frame(connection, query(spark, str(folder)), sql)
+
+
+def compare_frame(connection, df, sql):
     mine = table(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
         return len(mine[1]), None
