@@ -711,8 +711,7 @@ def rows_by_ids(t):
 )
 def count_seen(t):
     """Copies per key; a key with a NULL is never a copy."""
-    firsts = dedupe.first_per_key(t.cred, KEY, ["id"], F.col("id"))
-    return firsts.select(*[F.col("_row")[c].alias(c) for c in KEY], F.col("_copies").alias("count_seen"))
+    return dedupe.copies_per_key(t.cred, KEY, F.col("id"))
 
 
 @query(
@@ -969,8 +968,7 @@ def volume_dedupe(t):
     )
 )
 def volume_count_seen(t):
-    firsts = dedupe.first_per_key(t.lines, KEY, _TIE, F.struct(*_TIE).cast("string"))
-    return firsts.select(*[F.col("_row")[c].alias(c) for c in KEY], F.col("_copies").alias("count_seen"))
+    return dedupe.copies_per_key(t.lines, KEY, F.struct(*_TIE).cast("string"))
 
 
 @query(

@@ -143,7 +143,7 @@ def resolve_batch(
     """
     join_key = [*key[:-1], "_k"]
     asked = match_keys(batch, key).distinct()
-    if fits_broadcast(batch, max_broadcast_rows):
+    if fits_broadcast(batch.select(*key), max_broadcast_rows):
         asked = F.broadcast(asked)
     hits = match_keys(store, key, "id").join(asked, join_key)
     return first_per_key(batch, key, order, unique).join(hits, join_key, "left")

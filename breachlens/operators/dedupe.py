@@ -37,6 +37,12 @@ def first_per_key(rows: DataFrame, key, order, unique: Column) -> DataFrame:
     )
 
 
+def copies_per_key(rows: DataFrame, key, unique: Column) -> DataFrame:
+    """The key columns and ``count_seen``, the number of rows with that key; a key with a NULL is always one row."""
+    counted = with_match_key(rows, key, unique).groupBy(*key, "_k").agg(F.count("*").alias("count_seen"))
+    return counted.drop("_k")
+
+
 def keep_first(rows: DataFrame, key=DEDUPE_KEY, *, order, unique: Column) -> DataFrame:
     """Drop later copies of a key inside one batch."""
     return first_per_key(rows, key, order, unique).select("_row.*")
@@ -55,22 +61,24 @@ def drop_known(incoming: DataFrame, store: DataFrame, key=DEDUPE_KEY, *, order,
     return firsts.join(known, [*key[:-1], "_k"], "left_anti").select("_row.*")
 
 
-def drop_known_in_feed(incoming: DataFrame, store: DataFrame, *, raw="email", stored="email_stored", order, unique):
+def drop_known_in_feed(
+    incoming: DataFrame, store: DataFrame, key=DEDUPE_KEY, *, stored="email_stored", order, unique: Column
+) -> DataFrame:
     """``drop_known`` for a feed whose addresses are stored in another spelling than they arrive in.
 
-    A row is compared by its raw address with what is stored, and a stored row carries the normal form. So
-    - a row that is already in normal form is dropped if the pair is stored, or if any earlier row that gets
-      stored has the same normal form and password;
+    ``email`` is what arrived, the column ``stored`` what is written. A row is compared by its raw address with what
+    is stored, and a stored row carries the normal form. So
+    - a row that is already in normal form is dropped if its key is stored, or if any earlier row that gets
+      stored has the same key in normal form;
     - a row in another spelling never meets its own stored copy. It goes on, and raises the counter there.
     ``incoming`` should be a staged table: it is read once per branch.
     """
-    usual = drop_known(
-        incoming.filter(F.col(raw) == F.col(stored)), store, [raw, "password"], order=order, unique=unique
-    )
+    normal = F.col("email") == F.col(stored)
+    usual = drop_known(incoming.filter(normal), store, key, order=order, unique=unique)
     # The few rows in another spelling: copies must be counted, so rows are kept and only keys are reduced.
-    known = store.select(F.col("email").alias(raw), "password")
-    unusual = drop_matching(incoming.filter(F.col(raw) != F.col(stored)), known, [raw, "password"], unique=unique)
-    earlier = unusual.groupBy(F.col(stored).alias(raw), "password").agg(F.min(F.struct(*order)).alias("_earlier"))
-    usual = usual.join(earlier, [raw, "password"], "left")
-    usual = usual.filter(F.col("_earlier").isNull() | (F.struct(*order) < F.col("_earlier"))).drop("_earlier")
-    return usual.unionByName(unusual)
+    unusual = drop_matching(incoming.filter(~normal), store, key, unique=unique)
+    written = [F.col(stored).alias(c) if c == "email" else F.col(c) for c in key]
+    earlier = unusual.groupBy(*written).agg(F.min(F.struct(*order)).alias("_earlier"))
+    usual = usual.join(earlier, list(key), "left")
+    usual = usual.filter(F.col("_earlier").isNull() | (F.struct(*order) < F.col("_earlier")))
+    return usual.select(*incoming.columns).unionByName(unusual)

@@ -41,7 +41,7 @@ def with_vip(rows, vips, *, unique: Column, max_broadcast_rows=BROADCAST_ROWS) -
 
 def with_person(rows, directory, *, unique: Column, order=None, max_broadcast_rows=BROADCAST_ROWS) -> DataFrame:
     """J3, J4, J5 by one join: ``dept``, ``user_id`` and ``status`` of the address, NULL where unknown."""
-    small = fits_broadcast(directory, max_broadcast_rows)
+    small = fits_broadcast(directory.select("mail", "dg", "ecMoniker", "recordStatus"), max_broadcast_rows)
     return lookup(
         with_email_key(rows), people(directory, order), "email_key", unique=unique, small=small
     ).drop("email_key")

@@ -6,18 +6,29 @@ except for rows of *heavy* keys: frequent-items sketches name them, their few ta
 broadcast, and the rows themselves are spread evenly instead of being sent to one task.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 256 << 20
 HEAVY_KEYS = 4096
 _TRACKED = 16384
 _SKETCH_GROUPS = 1024
 
 
-def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Has ``table`` at most ``max_rows`` rows? Reads no columns, and partitions only until it is decided."""
-    return max_rows > 0 and table.select(F.lit(1)).offset(max_rows).isEmpty()
+def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Has ``table`` at most ``max_rows`` rows and ``max_bytes`` of cell text?
+
+    The row check reads no columns and stops as soon as it is decided; the texts are only summed up for a table
+    whose rows are few. Where ``table`` is costly to compute, hand in what it is made from.
+    """
+    if max_rows <= 0 or not table.select(F.lit(1)).offset(max_rows).isEmpty():
+        return False
+    cells = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in table.columns]
+    size = reduce(lambda a, b: a + b, cells, F.lit(16).cast("long"))
+    return (table.agg(F.sum(size)).first()[0] or 0) <= max_bytes
 
 
 def heavy_hashes(rows: DataFrame, keys) -> DataFrame:

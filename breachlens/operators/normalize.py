@@ -95,6 +95,11 @@ def to_internal(rows: DataFrame, mapping=None) -> DataFrame:
     return rows.select(*[column(f) for f in CANONICAL], *[c for c in LINEAGE if c in have])
 
 
+def parse_spycloud(rows: DataFrame, mapping=None) -> DataFrame:
+    """The vendor parser: scan -> checked internal rows."""
+    return to_internal(check_input(clear_sentinels(rows)), mapping)
+
+
 def leak_csv_to_internal(rows: DataFrame) -> DataFrame:
     """Generic CSV -> internal row: text cells cast to the table's types, a bad flag or missing key noted."""
     flags = ("email_verified", "password_verified_ok")

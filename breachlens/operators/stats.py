@@ -3,11 +3,10 @@
 All are two-step aggregates; none sends the rows of one key to one task.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
-from .joins import mark_matching
 
 
 def _volume():
@@ -44,16 +43,12 @@ def password_reuse(store: DataFrame, at_least: int = 2) -> DataFrame:
 def leak_overlap(store: DataFrame) -> DataFrame:
     """Per leak: distinct addresses, and how many of them also stand in another leak.
 
-    An address is shared if its smallest and largest leak differ; pairs of rows are never built.
+    An address is shared if its smallest and largest leak differ. The window sees one row per leak of
+    an address, whatever the number of its credentials; pairs of rows are never built.
     """
-    keyed = store.select("leak_id", match_key(F.col("email")).alias("email_key")).dropna()
-    in_several = (
-        keyed.groupBy("email_key")
-        .agg(F.min("leak_id").alias("lo"), F.max("leak_id").alias("hi"))
-        .filter("lo <> hi")
-    )
-    seen = keyed.distinct()
-    marked = mark_matching(seen, in_several, "email_key", unique=F.struct("leak_id", "email_key"), name="shared")
-    return marked.groupBy("leak_id").agg(
+    seen = store.select("leak_id", match_key(F.col("email")).alias("email_key")).dropna().distinct()
+    own = Window.partitionBy("email_key")
+    shared = F.min("leak_id").over(own) < F.max("leak_id").over(own)
+    return seen.select("leak_id", shared.alias("shared")).groupBy("leak_id").agg(
         F.count("*").alias("addresses"), F.count_if("shared").alias("shared_addresses")
     )

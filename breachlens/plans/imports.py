@@ -2,6 +2,7 @@
 
 import time
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +38,44 @@ class Reference:
     credential_type: str = DEFAULT_CREDENTIAL_TYPE
 
 
-@dataclass(frozen=True)
 class ImportResult:
-    outcome: DataFrame  # rows that went on to the store, with their flags
-    rejected: DataFrame  # rows set aside: original_line, error_msg, lineage
-    inserts: DataFrame  # new credentials with ids, as the table stores them
-    raises: DataFrame  # known credentials: id, n
-    report: DataFrame  # one row
+    """What an import found. The staged feed and outcome exist; what goes to the store is worked out when asked for."""
+
+    def __init__(self, judged, outcome, *, stored, first_id, max_broadcast_rows, began):
+        self._judged, self._stored = judged, stored
+        self._first_id, self._max_broadcast_rows = first_id, max_broadcast_rows
+        self._began = began
+        #: rows that go on to the store, with their flags
+        self.outcome = outcome
+
+    @property
+    def rejected(self) -> DataFrame:
+        """Rows set aside: the original line, the reasons, the position."""
+        return normalize.split_valid(self._judged)[1].select(*_ASIDE)
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        """One row per stored key, with the id of the credential it meets."""
+        found = changes.resolve_batch(
+            self._stored, self.outcome, order=LINEAGE, unique=lineage_id(), max_broadcast_rows=self._max_broadcast_rows
+        )
+        return staged(found, "resolved")
+
+    @cached_property
+    def inserts(self) -> DataFrame:
+        """New credentials with ids, as the table stores them."""
+        first_id = next_id(self._stored) if self._first_id is None else self._first_id
+        return changes.inserts(self.resolved, LEAK_DATA, first_id=first_id, order=LINEAGE)
+
+    @cached_property
+    def raises(self) -> DataFrame:
+        """Known credentials: ``id`` and by how much the counter goes up."""
+        return changes.raises(self.resolved)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        """One row: the answer's envelope and the books (rows_in = count + duplicates + filtered + rejected)."""
+        return _report(self._judged, self.outcome, self.resolved, self._began)
 
 
 _ASIDE = ["original_line", "error_msg", *LINEAGE]
@@ -55,8 +87,10 @@ def import_feed(
     stored: DataFrame,
     leak_id: int,
     reference: Reference,
-    mapping=None,
+    parser=None,
     row_filter: Column | None = None,
+    enrichers=(),
+    dedupe_key=dedupe.DEDUPE_KEY,
     strict: bool = False,
     first_id: int | None = None,
     max_broadcast_rows: int = BROADCAST_ROWS,
@@ -64,11 +98,13 @@ def import_feed(
     """Scanned SpyCloud rows -> checked, new, enriched credentials of one leak.
 
     Checks come before the dedupe, so a row that cannot be stored never hides a good copy of it. Enrichment comes
-    after, so it runs on the new rows only.
+    after, so it runs on the new rows only. Open to the caller: ``parser`` (scan -> checked internal rows),
+    ``row_filter`` (a predicate on internal rows), ``enrichers`` (DataFrame -> DataFrame, after the built-in
+    ones) and ``dedupe_key`` (add ``leak_id`` and ``domain`` to look at copies within one leak only).
     """
     began = time.monotonic()
-    checked = normalize.check_input(normalize.clear_sentinels(rows))
-    internal = normalize.to_internal(checked, mapping).withColumn("leak_id", F.lit(leak_id).cast("long"))
+    parse = normalize.parse_spycloud if parser is None else parser
+    internal = parse(rows).withColumn("leak_id", F.lit(leak_id).cast("long"))
     passes = F.lit(True) if row_filter is None else F.coalesce(row_filter, F.lit(False))
     judged = normalize.check_output(internal).withColumn("passes", passes)
     judged = staged(judged, "feed")
@@ -77,7 +113,7 @@ def import_feed(
         raise BadRows("the feed has rows that fail a check")
     unique = lineage_id()
     kept = normalize.filter_rows(good, F.col("passes")).drop("passes")
-    fresh = dedupe.drop_known_in_feed(kept, stored, order=LINEAGE, unique=unique)
+    fresh = dedupe.drop_known_in_feed(kept, stored, dedupe_key, order=LINEAGE, unique=unique)
     outcome = enrich(
         fresh,
         vips=reference.vips,
@@ -88,11 +124,12 @@ def import_feed(
         unique=unique,
         max_broadcast_rows=max_broadcast_rows,
     )
-    outcome = outcome.withColumn("email", F.col("email_stored")).drop("email_stored")
-    outcome = staged(outcome, "outcome")
-    resolved, inserts, raises = _plan(stored, outcome, first_id, max_broadcast_rows)
-    report = _report(judged, outcome, resolved, began)
-    return ImportResult(outcome, bad.select(*_ASIDE), inserts, raises, report)
+    for more in enrichers:
+        outcome = outcome.transform(more)
+    outcome = staged(outcome.withColumn("email", F.col("email_stored")).drop("email_stored"), "outcome")
+    return ImportResult(
+        judged, outcome, stored=stored, first_id=first_id, max_broadcast_rows=max_broadcast_rows, began=began
+    )
 
 
 def import_rows_of_leak(
@@ -109,21 +146,10 @@ def import_rows_of_leak(
     if leaks.filter(F.col("id") == leak_id).limit(2).count() != 1:
         raise UnknownLeak(f"leak {leak_id} not found")
     judged = staged(normalize.leak_csv_to_internal(rows).withColumn("passes", F.lit(True)), "feed")
-    good, bad = normalize.split_valid(judged)
-    resolved, inserts, raises = _plan(stored, good, first_id, max_broadcast_rows)
-    report = _report(judged, good, resolved, began)
-    return ImportResult(good, bad.select(*_ASIDE), inserts, raises, report)
-
-
-def _plan(stored, batch, first_id, max_broadcast_rows):
-    resolved = staged(
-        changes.resolve_batch(
-            stored, batch, order=LINEAGE, unique=lineage_id(), max_broadcast_rows=max_broadcast_rows
-        ),
-        "resolved",
+    good, _ = normalize.split_valid(judged)
+    return ImportResult(
+        judged, good, stored=stored, first_id=first_id, max_broadcast_rows=max_broadcast_rows, began=began
     )
-    first_id = next_id(stored) if first_id is None else first_id
-    return resolved, changes.inserts(resolved, LEAK_DATA, first_id=first_id, order=LINEAGE), changes.raises(resolved)
 
 
 def touched_rows(stored: DataFrame, result: ImportResult) -> DataFrame:
@@ -134,7 +160,6 @@ def touched_rows(stored: DataFrame, result: ImportResult) -> DataFrame:
 
 
 def _report(judged, outcome, resolved, began) -> DataFrame:
-    """The answer's envelope and the books: rows_in = count + duplicates + filtered + rejected."""
     bad = F.col("error_msg").isNotNull()
     feed = judged.agg(
         F.count("*").alias("rows_in"),
@@ -172,18 +197,20 @@ def import_spycloud_files(
     reference: Reference,
     run_ts: Column,
     batch: str,
+    collector=scan_spycloud,
     **options,
 ) -> ImportResult:
-    """Files -> store. The leak is found by (summary, ticket) or created."""
+    """Files -> store. The leak is found by (summary, ticket) or created. ``collector(spark, paths)`` scans them."""
     return import_scanned_feed(
-        spark, store, scan_spycloud(spark, paths), ticket_id=ticket_id, summary=summary, reference=reference,
+        spark, store, collector(spark, paths), ticket_id=ticket_id, summary=summary, reference=reference,
         run_ts=run_ts, batch=batch, **options,
     )
 
 
 def import_scanned_feed(
-    spark, store: Store, rows, *, ticket_id, summary, reference, run_ts, batch, **options
+    spark, store: Store, rows, *, ticket_id, summary, reference, run_ts, batch, outputs=(), **options
 ) -> ImportResult:
+    """The same for rows already scanned. Each of ``outputs`` is called with the outcome after the commit."""
     if not ticket_id or not summary:
         raise ValueError("an import needs a ticket id and a summary")
     wanted = spark.createDataFrame([(summary, ticket_id)], "summary string, ticket_id string")
@@ -195,6 +222,8 @@ def import_scanned_feed(
         rows, stored=store.rows(), leak_id=leak_id, reference=reference, first_id=store.next_id(), **options
     )
     store.commit(batch, inserts=result.inserts, raises=result.raises, leaks=created)
+    for output in outputs:
+        output(result.outcome)
     return result
 
 

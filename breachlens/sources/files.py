@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null, strip
 from ..functions.values import GENERIC_NA, SPYCLOUD_NA
-from ..schemas import LEAK_CSV_COLUMNS, LINEAGE, SPYCLOUD_COLUMNS, all_text
+from ..schemas import DIRECTORY, LEAK_CSV_COLUMNS, LINEAGE, SPYCLOUD_COLUMNS, all_text
 
 BAD_LINE = "bad_line"
 TOO_LONG = "too many fields"
@@ -122,6 +122,11 @@ def scan_vips(spark, path) -> DataFrame:
     return vips_from(lines, "value")
 
 
+def scan_directory(spark, path) -> DataFrame:
+    """A snapshot of the corporate directory, one JSON entry per line, attributes as arrays."""
+    return spark.read.schema(DIRECTORY).json(path)
+
+
 def vips_from(table: DataFrame, column: str) -> DataFrame:
     return table.select(F.upper(strip(F.col(column))).alias("email_key")).distinct()
 

@@ -71,3 +71,26 @@ def test_feed_agrees_with_the_loop(spark, stored, feed):
     incoming = staged(batch(spark, feed).withColumn("email_stored", normalize_email(F.col("email"))), "test")
     fresh = dedupe.drop_known_in_feed(incoming, batch(spark, stored), order=["id"], unique=F.col("id"))
     assert sorted(r.id for r in fresh.select("id").collect()) == one_by_one(stored, feed)
+
+
+@settings(max_examples=8, deadline=None)
+@given(PAIRS, PAIRS)
+def test_feed_within_one_leak_agrees_with_the_loop(spark, stored, feed):
+    """The narrower key, with a domain that is sometimes missing and then never matches."""
+
+    def with_domain(pairs):
+        return batch(spark, pairs).withColumns(
+            {"leak_id": F.lit(1), "domain": F.when(F.col("password") == "p", F.lit("x.co"))}
+        )
+
+    incoming = staged(with_domain(feed).withColumn("email_stored", normalize_email(F.col("email"))), "test")
+    key = ["leak_id", "email", "password", "domain"]
+    fresh = dedupe.drop_known_in_feed(incoming, with_domain(stored), key, order=["id"], unique=F.col("id"))
+    matchable = one_by_one([s for s in stored if s[1] == "p"], [(e, p if p == "p" else i) for i, (e, p) in enumerate(feed)])
+    assert sorted(r.id for r in fresh.select("id").collect()) == matchable
+
+
+def test_copies_per_key(spark):
+    data = batch(spark, [("a", "p"), ("a", "p"), ("a", None), ("a", None), ("b", "p")])
+    counted = dedupe.copies_per_key(data, ["email", "password"], F.col("id"))
+    assert rows(counted) == sorted([("a", "p", 2), ("a", None, 1), ("a", None, 1), ("b", "p", 1)], key=repr)

@@ -141,6 +141,26 @@ def test_filter_strict_and_arguments(spark, folder, reference):
     assert (report.filtered, report["count"]) == (1, 4)
 
 
+def test_hooks(spark, folder, reference):
+    """Own collector, parser, enricher and output."""
+    from breachlens.operators import normalize
+    from breachlens.sources.files import scan_spycloud
+
+    store, seen, used = Store(spark, folder + "/store"), [], []
+
+    def collector(spark, paths):
+        used.append("collector")
+        return scan_spycloud(spark, paths).filter("email like '%@x.co'")
+
+    result = load(
+        spark, store, write(folder, "a.csv", LINES), reference, collector=collector,
+        parser=lambda scan: normalize.parse_spycloud(scan, normalize.BY_NAME_MAPPING),
+        enrichers=[lambda df: df.withColumn("malware_name", F.lit("stealer"))], outputs=[lambda df: seen.append(df.count())],
+    )
+    assert used == ["collector"] and seen == [result.outcome.count()]
+    assert rows(store.credentials().select("malware_name", "password_plain").distinct()) == [("stealer", None)]
+
+
 def leak_line(email, password="pw", verified="t", domain="x.co", ip="1.1.1.1"):
     return f"{email},{password},{password},,,T-9,{verified},f,{ip},{domain},Chrome 1,,host 1,D"
 
