@@ -9,7 +9,7 @@ from ..operators import changes, dedupe, enrich, lookups, normalize, stats
 from ..operators.joins import keep_matching
 from ..plans import imports
 from ..plans.store import Store
-from ..schemas import LEAK_CSV_COLUMNS, LEAK_DATA, LEAK_UPDATABLE, SPYCLOUD_COLUMNS
+from ..schemas import LEAK, LEAK_CSV_COLUMNS, LEAK_DATA, LEAK_UPDATABLE, SPYCLOUD_COLUMNS
 from ..session import scratch_path
 from ..sources import files
 from ..streaming.folder import stream_import
@@ -807,8 +807,11 @@ _OWNER = _INTERNAL.replace("email", "k.email")
 )
 def import_feed(t):
     """Entry A up to the store: checked, new, enriched."""
-    done = _import(t).outcome
-    return done.select(
+    return _import_out(_import(t))
+
+
+def _import_out(done):
+    return done.outcome.select(
         "src_ord", "leak_id", "email", "password", "password_plain", "hash_algo", "domain", "ip", "is_vip", "dg",
         "is_active_account", "external_user", "notify", F.array_join("report_to", ",").alias("report_to"),
     )
@@ -881,6 +884,56 @@ def stream_import_feed(t):
     return kept.agg(F.count("*").alias("rows"), F.sum("count_seen").alias("times_seen"))
 
 
+@query(
+    oracle(
+        "select leak_id, email, password, domain, sum(n) as count_seen from (select leak_id, email, password, domain, 1 as n, "
+        "case when domain is null then id else -1 end as own from store union all select leak_id, email, password, domain, 1, "
+        "case when domain is null then id else -1 end from batch) group by leak_id, email, password, domain, own",
+        "store", "batch",
+    ).replace("sum(n)", "cast(sum(n) as bigint)")
+)
+def stored_counts(t):
+    """Two imports into a stored table on disk, read back with current counters."""
+    store = Store(t.spark, scratch_path(t.spark, "store"))
+    store.commit("leaks", leaks=t.leak.select(*[F.col(f.name).cast(f.dataType) for f in LEAK]))
+    for batch, df in (("first", t.store), ("second", t.batch)):
+        flat = df.select(
+            "leak_id", *[F.col(c).cast("string") for c in LEAK_CSV_COLUMNS], F.lit(batch).alias("src_file"),
+            F.lit(0).cast("long").alias("src_block"), F.col("id").alias("src_ord"),
+        )
+        done = imports.import_rows_of_leak(
+            flat, stored=store.rows(), leaks=store.leaks(), leak_id=1, first_id=store.next_id()
+        )
+        store.commit(batch, inserts=done.inserts, raises=done.raises)
+    return store.credentials().select(*KEY, "count_seen")
+
+
+# ---- the same lookups beyond the broadcast bound -------------------------------------------------
+
+
+@query(ORACLES["enrich_dept"])
+def enrich_dept_large(t):
+    """As if the directory were too big to broadcast."""
+    known = enrich.with_person(t.cred, t.directory, unique=F.col("id"), max_broadcast_rows=0)
+    return known.select("id", "email", enrich.department().alias("dg"))
+
+
+@query(ORACLES["users_by_credentials"])
+def users_by_credentials_large(t):
+    asked = t.batch.select("email", "password")
+    return lookups.rows_for_credentials(t.cred, asked, max_broadcast_rows=0).select(*_CRED_OUT)
+
+
+@query(ORACLES["exists_by_passwords"])
+def exists_by_passwords_large(t):
+    return lookups.counts_by_password(t.cred, t.asked_passwords, max_broadcast_rows=0)
+
+
+@query(ORACLES["import_feed"])
+def import_feed_large(t):
+    return _import_out(_import(t, max_broadcast_rows=0))
+
+
 # ---- statistics (extensions) ---------------------------------------------------------------------
 
 _VOLUME = "count(*) as credentials, cast(sum(count_seen) as bigint) as times_seen"

@@ -16,8 +16,9 @@ from .joins import BROADCAST_ROWS, drop_matching, fits_broadcast, keep_matching,
 
 
 def append_leaks(leaks: DataFrame, new: DataFrame, *, run_ts: Column, order) -> DataFrame:
-    """New leak rows with ids and ``ingestion_ts``, in the table's columns (K1). ``summary`` is mandatory."""
-    stamped = new.filter(F.col("summary").isNotNull()).withColumn("ingestion_ts", run_ts)
+    """New leak rows with ids and ``ingestion_ts``, in the table's columns (K1). A row without a summary is an error."""
+    missing = F.raise_error(F.lit("summary not given")).cast("string")
+    stamped = new.withColumn("summary", F.coalesce("summary", missing)).withColumn("ingestion_ts", run_ts)
     numbered = with_dense_ids(stamped, order, next_id(leaks))
     have = set(numbered.columns)
     return numbered.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in leaks.columns])

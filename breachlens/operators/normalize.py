@@ -10,7 +10,7 @@ from ..functions.values import COLUMN_SENTINELS, CREDENTIAL_TYPES, SENTINELS
 from ..schemas import CANONICAL, LEAK_CSV_COLUMNS, LEAK_DATA_WRITABLE, LINEAGE, SPYCLOUD_COLUMNS, SPYCLOUD_REQUIRED
 from ..sources.files import BAD_LINE, TOO_LONG
 
-# Vendor column -> internal column. All the others are dropped.
+# Vendor column -> internal column. All the others are dropped.
 FULL_MAPPING = {
     "email": "email",
     "password": "password",
@@ -23,7 +23,7 @@ FULL_MAPPING = {
     "ip_addresses": "ip",
 }
 
-# The narrower mapping by equal names; only ``domain`` comes from another column.
+# The narrower mapping by equal names; only ``domain`` comes from another column.
 BY_NAME_MAPPING = {
     "email": "email",
     "password": "password",

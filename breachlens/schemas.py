@@ -10,6 +10,8 @@ def _struct(*fields):
     return T.StructType([T.StructField(name, kind, nullable) for name, kind, nullable in fields])
 
 
+# ---- Fixed values: table and file columns, which must equal the documented layout ----
+
 LEAK = _struct(
     ("id", _L, False),
     ("breach_ts", _TS, True),
@@ -107,6 +109,8 @@ CANONICAL = _struct(
     ("needs_human_intervention", _B, True),
 )
 
+# ---- End of fixed values ----
+
 # Position of a row in the files it came from; unique, and ordered as the lines are.
 LINEAGE = ["src_file", "src_block", "src_ord"]
 

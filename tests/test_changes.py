@@ -103,6 +103,17 @@ def test_update_writes_nulls_and_keeps_the_rest(spark):
     assert rows(changes.unknown_ids(before, edits).select("id")) == [(9,)]
 
 
+def test_new_leaks(spark):
+    before = leaks(spark, [(4, "s", "t", None)])
+    new = spark.createDataFrame([(1, "b", "t2"), (0, "a", "t1")], "pos int, summary string, ticket_id string")
+    added = changes.append_leaks(before, new, run_ts=F.lit("2024-03-01").cast("timestamp"), order=["pos"])
+    assert rows(added.select("id", "summary", "ticket_id", "source_name")) == [(5, "a", "t1", None), (6, "b", "t2", None)]
+    assert added.filter("ingestion_ts is null").count() == 0
+    with pytest.raises(Exception, match="summary not given"):
+        nameless = new.withColumn("summary", F.lit(None).cast("string"))
+        changes.append_leaks(before, nameless, run_ts=F.lit("2024-03-01").cast("timestamp"), order=["pos"])
+
+
 def test_update_needs_an_id(spark):
     before = leaks(spark, [(1, "s1", "t1", "r1")])
     with pytest.raises(Exception, match="id not given"):
