@@ -677,7 +677,7 @@ def upsert_ids(t):
     batch = t.batch.drop("count_seen").withColumnRenamed("id", "event_id")
     resolved = changes.resolve_batch(t.target, batch, order=["event_id"], unique=F.col("event_id"))
     new = changes.inserts(resolved, LEAK_DATA, first_id=changes.next_id(t.target), order=["event_id"])
-    return changes.raises(resolved).unionByName(new.select("id", F.col("count_seen").alias("n")))
+    return changes.raises(resolved).select("id", "n").unionByName(new.select("id", F.col("count_seen").alias("n")))
 
 
 @query(
@@ -852,7 +852,7 @@ def import_by_leak(t):
     lineage = [F.lit("batch").alias("src_file"), F.lit(0).cast("long").alias("src_block"), F.col("id").alias("src_ord")]
     rows = flat.select(F.col("leak_id").cast("long").alias("leak_id"), *LEAK_CSV_COLUMNS, *lineage)
     done = imports.import_rows_of_leak(rows, stored=t.target, leaks=t.leak, leak_id=1)
-    return done.raises.unionByName(done.inserts.select("id", F.col("count_seen").alias("n")))
+    return done.raises.select("id", "n").unionByName(done.inserts.select("id", F.col("count_seen").alias("n")))
 
 
 # Landing files go through the scan first, which knows more spellings of "missing" than the parser.

@@ -151,8 +151,8 @@ def resolve_batch(
 
 
 def raises(resolved: DataFrame) -> DataFrame:
-    """K3 on known keys: ``count_seen`` of ``id`` goes up by ``n``."""
-    return resolved.filter("id is not null").select("id", F.col("_copies").alias("n"))
+    """K3 on known keys: ``count_seen`` of ``id`` goes up by ``n``. The address says where in the store that row is."""
+    return resolved.filter("id is not null").select("id", F.upper("email").alias("email_key"), F.col("_copies").alias("n"))
 
 
 def inserts(resolved: DataFrame, columns, *, first_id: int, order, counted: bool = True) -> DataFrame:

@@ -29,19 +29,25 @@ def with_email_key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("email_key", text.match_key(F.col("email")))
 
 
-def with_vip(rows, vips, *, unique: Column, max_broadcast_rows=BROADCAST_ROWS) -> DataFrame:
+def directory_fits(directory, max_broadcast_rows=BROADCAST_ROWS) -> bool:
+    return fits_broadcast(directory.select("mail", "dg", "ecMoniker", "recordStatus"), max_broadcast_rows)
+
+
+def with_vip(rows, vips, *, unique: Column, max_broadcast_rows=BROADCAST_ROWS, small=None) -> DataFrame:
     """``is_vip``; a flag already true stays."""
     keyed = with_email_key(rows)
     had = F.col("is_vip") if "is_vip" in rows.columns else F.lit(False)
     marked = mark_matching(
-        keyed, vips, "email_key", unique=unique, name="_vip", max_broadcast_rows=max_broadcast_rows
+        keyed, vips, "email_key", unique=unique, name="_vip", max_broadcast_rows=max_broadcast_rows, small=small
     )
     return marked.withColumn("is_vip", F.coalesce(had, F.lit(False)) | F.col("_vip")).drop("_vip", "email_key")
 
 
-def with_person(rows, directory, *, unique: Column, order=None, max_broadcast_rows=BROADCAST_ROWS) -> DataFrame:
+def with_person(
+    rows, directory, *, unique: Column, order=None, max_broadcast_rows=BROADCAST_ROWS, small=None
+) -> DataFrame:
     """J3, J4, J5 by one join: ``dept``, ``user_id`` and ``status`` of the address, NULL where unknown."""
-    small = fits_broadcast(directory.select("mail", "dg", "ecMoniker", "recordStatus"), max_broadcast_rows)
+    small = directory_fits(directory, max_broadcast_rows) if small is None else small
     return lookup(
         with_email_key(rows), people(directory, order), "email_key", unique=unique, small=small
     ).drop("email_key")
@@ -66,6 +72,8 @@ def enrich(
     suffixes=None,
     credential_type: str = DEFAULT_CREDENTIAL_TYPE,
     max_broadcast_rows: int = BROADCAST_ROWS,
+    small_vips: bool | None = None,
+    small_directory: bool | None = None,
 ) -> DataFrame:
     """Fill what is missing -- false, empty and NULL all count as missing -- and set the outcome flags.
 
@@ -75,8 +83,9 @@ def enrich(
     columns = rows.columns
     if leak_id is not None:
         rows = rows.withColumn("leak_id", F.lit(leak_id).cast("long"))
-    flagged = with_vip(rows, vips, unique=unique, max_broadcast_rows=max_broadcast_rows)
-    known = with_person(flagged, directory, unique=unique, max_broadcast_rows=max_broadcast_rows)
+    bound = {"unique": unique, "max_broadcast_rows": max_broadcast_rows}
+    flagged = with_vip(rows, vips, small=small_vips, **bound)
+    known = with_person(flagged, directory, small=small_directory, **bound)
     email = F.col("email")
     good = F.col("error_msg").isNull()
     external = F.coalesce(F.col("external_user"), F.lit(False)) | text.is_external(email, suffixes)

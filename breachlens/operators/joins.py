@@ -59,7 +59,8 @@ def lookup(
 ) -> DataFrame:
     """Left join ``rows`` to ``table``, which has one row per key, on equal ``keys``.
 
-    ``unique`` tells the rows of one key apart (an id or the lineage); it is only used to spread them.
+    ``unique`` tells the rows of one key apart (an id or the lineage); it is only used to spread them. Beyond the
+    bound ``rows`` is read twice, so hand in a table and not a costly plan.
     NULL keys match nothing. ``small`` hands in a size check the caller has already made.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
@@ -105,15 +106,15 @@ def drop_matching(rows, keys_table, keys, *, unique, max_broadcast_rows=BROADCAS
     return _marked(rows, keys_table, keys, unique, max_broadcast_rows).filter(F.col("_found").isNull()).drop("_found")
 
 
-def mark_matching(rows, keys_table, keys, *, unique, name, max_broadcast_rows=BROADCAST_ROWS) -> DataFrame:
+def mark_matching(rows, keys_table, keys, *, unique, name, max_broadcast_rows=BROADCAST_ROWS, small=None) -> DataFrame:
     """All rows, with a boolean: is the key in ``keys_table``?"""
-    marked = _marked(rows, keys_table, keys, unique, max_broadcast_rows)
+    marked = _marked(rows, keys_table, keys, unique, max_broadcast_rows, small)
     return marked.select(*rows.columns, F.coalesce("_found", F.lit(False)).alias(name))
 
 
-def _marked(rows, keys_table, keys, unique, max_broadcast_rows):
+def _marked(rows, keys_table, keys, unique, max_broadcast_rows, small=None):
     keys = [keys] if isinstance(keys, str) else list(keys)
     asked = keys_table.select(*keys)
-    small = fits_broadcast(asked, max_broadcast_rows)
+    small = fits_broadcast(asked, max_broadcast_rows) if small is None else small
     table = asked.distinct().withColumn("_found", F.lit(True))
     return lookup(rows, table, keys, unique=unique, small=small)

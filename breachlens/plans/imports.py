@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..functions.values import DEFAULT_CREDENTIAL_TYPE, SPYCLOUD_SOURCE
 from ..operators import changes, dedupe, normalize
-from ..operators.enrich import enrich
+from ..operators.enrich import directory_fits, enrich
 from ..operators.ids import next_id
 from ..operators.joins import BROADCAST_ROWS, fits_broadcast
 from ..schemas import LEAK_DATA, LINEAGE
@@ -114,6 +114,10 @@ def import_feed(
     unique = lineage_id()
     kept = normalize.filter_rows(good, F.col("passes")).drop("passes")
     fresh = dedupe.drop_known_in_feed(kept, stored, dedupe_key, order=LINEAGE, unique=unique)
+    small_vips = fits_broadcast(reference.vips, max_broadcast_rows)
+    small_directory = directory_fits(reference.directory, max_broadcast_rows)
+    if not (small_vips and small_directory):
+        fresh = staged(fresh, "fresh")
     outcome = enrich(
         fresh,
         vips=reference.vips,
@@ -122,7 +126,8 @@ def import_feed(
         suffixes=reference.suffixes,
         credential_type=reference.credential_type,
         unique=unique,
-        max_broadcast_rows=max_broadcast_rows,
+        small_vips=small_vips,
+        small_directory=small_directory,
     )
     for more in enrichers:
         outcome = outcome.transform(more)

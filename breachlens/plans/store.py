@@ -1,6 +1,6 @@
 """The stored tables as folders of parquet, written once and never changed in place.
 
-An import appends: new credentials, and ``(id, n)`` raises for known ones, each in a folder of its own batch. A row in
+An import appends: new credentials, and counter raises for known ones, each in a folder of its own batch. A row in
 ``log`` makes the batch visible, and is written last. So the cost of an import follows the batch and not the
 table; a job that dies leaves nothing visible; and a batch that is run again either finds its log row and
 stops, or replaces its own folders. Updates and ``compact`` write a new generation beside the current one.
@@ -19,7 +19,9 @@ from ..operators.ids import next_id
 from ..schemas import LEAK, LEAK_DATA
 
 _STORED = T.StructType(LEAK_DATA.fields + [T.StructField("email_key", T.StringType())])
-_RAISES = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
+_RAISES = T.StructType(
+    [T.StructField("id", T.LongType()), T.StructField("email_key", T.StringType()), T.StructField("n", T.LongType())]
+)
 _LOG = T.StructType(
     [T.StructField("gen", T.IntegerType()), T.StructField("batch", T.StringType())]
     + [T.StructField("max_id", T.LongType()), T.StructField("max_leak_id", T.LongType())]
@@ -64,9 +66,9 @@ class Store:
         return self._read("credentials")
 
     def credentials(self) -> DataFrame:
-        """Stored credentials with current counters. A filter on ``email_key`` reaches the scan."""
-        raised = self._read("raises").groupBy("id").agg(F.sum("n").alias("_n"))
-        joined = self.rows().join(raised, "id", "left")
+        """Stored credentials with current counters. A filter on ``email_key`` reaches both scans."""
+        raised = self._read("raises").groupBy("email_key", "id").agg(F.sum("n").alias("_n"))
+        joined = self.rows().join(raised, ["email_key", "id"], "left")
         seen = F.col("count_seen") + F.coalesce("_n", F.lit(0))
         return joined.select(*[seen.alias(c) if c == "count_seen" else F.col(c) for c in _STORED.names])
 
@@ -125,7 +127,7 @@ class Store:
     def _write(self, kind, gen, label, rows):
         schema = _KINDS[kind]
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-        if kind == "credentials":
+        if "email_key" in schema.names:
             rows = rows.sortWithinPartitions("email_key")
         writer = rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#email_key", "true")
         writer.parquet(self._path(kind, gen, label))
