@@ -143,10 +143,9 @@ def resolve_batch(
     a bigger one meets it by one shuffle on the key, the same its own grouping has used.
     """
     join_key = [*key[:-1], "_k"]
-    asked = match_keys(batch, key).distinct()
-    if fits_broadcast(batch.select(*key), max_broadcast_rows):
-        asked = F.broadcast(asked)
-    hits = match_keys(store, key, "id").join(asked, join_key)
+    asked = match_keys(batch, key)
+    small = fits_broadcast(batch.select(*key), max_broadcast_rows)
+    hits = match_keys(store, key, "id").join(F.broadcast(asked) if small else asked.distinct(), join_key, "left_semi")
     return first_per_key(batch, key, order, unique).join(hits, join_key, "left")
 
 

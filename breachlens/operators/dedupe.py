@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import unequal_null_key
-from .joins import drop_matching
+from ..session import staged
+from .joins import BROADCAST_ROWS, drop_matching, fits_broadcast
 
 DEDUPE_KEY = ["email", "password"]
 
@@ -48,21 +49,40 @@ def keep_first(rows: DataFrame, key=DEDUPE_KEY, *, order, unique: Column) -> Dat
     return first_per_key(rows, key, order, unique).select("_row.*")
 
 
-def drop_known(incoming: DataFrame, store: DataFrame, key=DEDUPE_KEY, *, order, unique: Column) -> DataFrame:
+def drop_known(
+    incoming: DataFrame,
+    store: DataFrame,
+    key=DEDUPE_KEY,
+    *,
+    order,
+    unique: Column,
+    max_broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """Drop rows whose key is stored, then later copies inside the batch.
 
-    Exact, case-sensitive match; a NULL never matches. Both sides are reduced to one row per key by the
-    very partitioning the anti join needs, so there are two shuffles in all and no skew in the join.
+    Exact, case-sensitive match; a NULL never matches. Only the key columns of the store are read. A batch of bounded
+    size is broadcast into that scan, so the store is not shuffled; otherwise both sides are reduced to one row
+    per key by the very partitioning the anti join needs: two shuffles in all and no skew in the join.
     ``key`` decides the scope: (email, password) looks at all leaks; put ``leak_id`` and ``domain`` in it for the
     narrower rule.
     """
+    join_key = [*key[:-1], "_k"]
+    known = match_keys(store, key)
+    if fits_broadcast(incoming.select(*key), max_broadcast_rows):
+        known = known.join(F.broadcast(match_keys(incoming, key)), join_key, "left_semi")
     firsts = first_per_key(incoming, key, order, unique)
-    known = match_keys(store, key).distinct()
-    return firsts.join(known, [*key[:-1], "_k"], "left_anti").select("_row.*")
+    return firsts.join(known.distinct(), join_key, "left_anti").select("_row.*")
 
 
 def drop_known_in_feed(
-    incoming: DataFrame, store: DataFrame, key=DEDUPE_KEY, *, stored="email_stored", order, unique: Column
+    incoming: DataFrame,
+    store: DataFrame,
+    key=DEDUPE_KEY,
+    *,
+    stored="email_stored",
+    order,
+    unique: Column,
+    max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``drop_known`` for a feed whose addresses are stored in another spelling than they arrive in.
 
@@ -71,12 +91,18 @@ def drop_known_in_feed(
     - a row that is already in normal form is dropped if its key is stored, or if any earlier row that gets
       stored has the same key in normal form;
     - a row in another spelling never meets its own stored copy. It goes on, and raises the counter there.
-    ``incoming`` should be a staged table: it is read once per branch.
+    ``incoming`` should be a staged table: it is read once per branch. The store is scanned once for a batch of
+    bounded size.
     """
     normal = F.col("email") == F.col(stored)
-    usual = drop_known(incoming.filter(normal), store, key, order=order, unique=unique)
+    asked = incoming.select(*key)
+    if fits_broadcast(asked, max_broadcast_rows):
+        store = staged(store.select(*key).join(F.broadcast(asked), list(key), "left_semi").distinct(), "known")
+    usual = drop_known(incoming.filter(normal), store, key, order=order, unique=unique, max_broadcast_rows=0)
     # The few rows in another spelling: copies must be counted, so rows are kept and only keys are reduced.
-    unusual = drop_matching(incoming.filter(~normal), store, key, unique=unique)
+    unusual = drop_matching(
+        incoming.filter(~normal), store, key, unique=unique, max_broadcast_rows=max_broadcast_rows
+    )
     written = [F.col(stored).alias(c) if c == "email" else F.col(c) for c in key]
     earlier = unusual.groupBy(*written).agg(F.min(F.struct(*order)).alias("_earlier"))
     usual = usual.join(earlier, list(key), "left")

@@ -113,7 +113,9 @@ def import_feed(
         raise BadRows("the feed has rows that fail a check")
     unique = lineage_id()
     kept = normalize.filter_rows(good, F.col("passes")).drop("passes")
-    fresh = dedupe.drop_known_in_feed(kept, stored, dedupe_key, order=LINEAGE, unique=unique)
+    fresh = dedupe.drop_known_in_feed(
+        kept, stored, dedupe_key, order=LINEAGE, unique=unique, max_broadcast_rows=max_broadcast_rows
+    )
     small_vips = fits_broadcast(reference.vips, max_broadcast_rows)
     small_directory = directory_fits(reference.directory, max_broadcast_rows)
     if not (small_vips and small_directory):

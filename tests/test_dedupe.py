@@ -20,8 +20,9 @@ def test_known_and_unseen(spark):
     asked = batch(spark, [("aaron@example.com", "12345"), ("aaron999735@example.com", "12345XXX"),
                           ("Aaron@example.com", "12345"), ("aaron@example.com", None), ("aaron@example.com", None),
                           ("aaron999735@example.com", "12345XXX"), (None, "12345")])
-    fresh = dedupe.drop_known(asked, store, order=["id"], unique=F.col("id"))
-    assert [r[0] for r in rows(fresh)] == [1, 2, 3, 4, 6]
+    for bound in (0, 1000):
+        fresh = dedupe.drop_known(asked, store, order=["id"], unique=F.col("id"), max_broadcast_rows=bound)
+        assert [r[0] for r in rows(fresh)] == [1, 2, 3, 4, 6]
 
 
 def test_null_keys_never_meet_even_if_they_look_alike(spark):
@@ -66,10 +67,12 @@ PAIRS = st.lists(st.tuples(SPELLINGS, st.sampled_from(["p", "q"])), max_size=14)
 
 
 @settings(max_examples=10, deadline=None)
-@given(PAIRS, PAIRS)
-def test_feed_agrees_with_the_loop(spark, stored, feed):
+@given(PAIRS, PAIRS, st.sampled_from([0, 1000]))
+def test_feed_agrees_with_the_loop(spark, stored, feed, bound):
     incoming = staged(batch(spark, feed).withColumn("email_stored", normalize_email(F.col("email"))), "test")
-    fresh = dedupe.drop_known_in_feed(incoming, batch(spark, stored), order=["id"], unique=F.col("id"))
+    fresh = dedupe.drop_known_in_feed(
+        incoming, batch(spark, stored), order=["id"], unique=F.col("id"), max_broadcast_rows=bound
+    )
     assert sorted(r.id for r in fresh.select("id").collect()) == one_by_one(stored, feed)
 
 

@@ -34,7 +34,11 @@ def test_small_tables_are_broadcast(t):
 def test_dedupe_and_upsert_shuffle_twice(spark, t):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert exchanges(dedupe.drop_known(t.batch, t.store, order=["id"], unique=F.col("id"))) == 2
+        keys = {"order": ["id"], "unique": F.col("id")}
+        assert exchanges(dedupe.drop_known(t.batch, t.store, max_broadcast_rows=0, **keys)) == 2
+        small = plan(dedupe.drop_known(t.batch, t.store, **keys))
+        # The store meets a small batch before anything of it is shuffled.
+        assert re.search(r"BroadcastHashJoin .*LeftSemi", small)
         stored = t.store.select(*LEAK_DATA.names)
         assert exchanges(changes.upsert(stored, t.batch.drop("count_seen"), order=["id"], unique=F.col("id"))) == 2
     finally:
@@ -60,5 +64,5 @@ def test_lookup_reaches_the_scan(spark, t, folder):
 def test_bulk_dedupe_reads_two_columns_of_the_store(spark, t, folder):
     store = Store(spark, folder)
     store.commit("one", inserts=t.target.limit(500))
-    text = plan(dedupe.drop_known(t.batch, store.rows(), order=["id"], unique=F.col("id")))
+    text = plan(dedupe.drop_known(t.batch, store.rows(), order=["id"], unique=F.col("id"), max_broadcast_rows=0))
     assert "ReadSchema: struct<email:string,password:string>" in text
