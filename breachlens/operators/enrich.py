@@ -49,7 +49,8 @@ def with_person(
     """J3, J4, J5 by one join: ``dept``, ``user_id`` and ``status`` of the address, NULL where unknown."""
     small = directory_fits(directory, max_broadcast_rows) if small is None else small
     return lookup(
-        with_email_key(rows), people(directory, order), "email_key", unique=unique, small=small
+        with_email_key(rows), people(directory, order), "email_key", unique=unique,
+        max_broadcast_rows=max_broadcast_rows, small=small,
     ).drop("email_key")
 
 

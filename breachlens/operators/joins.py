@@ -1,9 +1,10 @@
 """Lookups that hold up when one key owns a large share of the rows.
 
-The reference tables (VIPs, directory, asked keys, leaks) are usually small, and then a broadcast join reads
-the big side once without a shuffle. That is only done behind a count. Above the bound the big side is shuffled,
-except for rows of *heavy* keys: frequent-items sketches name them, their few table rows are
-broadcast, and the rows themselves are spread evenly instead of being sent to one task.
+The tables looked up in (VIPs, directory, asked keys, leaks) are usually small, and then a broadcast join reads the
+big side once without a shuffle. That is only done behind a size check. If instead the rows are few, their keys are
+broadcast into the table's scan. If both are big the rows are shuffled, except for rows of *heavy* keys:
+frequent-items sketches name them, their few table rows are broadcast, and the rows themselves are spread
+evenly instead of being sent to one task.
 """
 
 from functools import reduce
@@ -68,6 +69,11 @@ def lookup(
     if fits_broadcast(table, max_broadcast_rows) if small is None else small:
         return rows.join(F.broadcast(table), keys, "left").select(*rows.columns, *values)
 
+    if fits_broadcast(rows.select(*keys), max_broadcast_rows):
+        # Few rows and a big table: only the table rows they ask for are moved.
+        needed = table.join(F.broadcast(rows.select(*keys)), keys, "left_semi")
+        return rows.join(needed, keys, "left").select(*rows.columns, *values)
+
     heavy = heavy_hashes(rows, keys).withColumn("_hot", F.lit(True))
     keyed = table.withColumn("_h", F.xxhash64(*keys))
     hot = keyed.join(F.broadcast(heavy.select("_h")), "_h", "left_semi").select(
@@ -117,4 +123,4 @@ def _marked(rows, keys_table, keys, unique, max_broadcast_rows, small=None):
     asked = keys_table.select(*keys)
     small = fits_broadcast(asked, max_broadcast_rows) if small is None else small
     table = asked.distinct().withColumn("_found", F.lit(True))
-    return lookup(rows, table, keys, unique=unique, small=small)
+    return lookup(rows, table, keys, unique=unique, max_broadcast_rows=max_broadcast_rows, small=small)

@@ -27,6 +27,10 @@ def test_lookup_is_the_same_beyond_the_bound(spark):
     large = joins.lookup(facts, table, "key", unique=F.col("id"), max_broadcast_rows=0)
     assert small.columns == large.columns == ["id", "key", "second", "v"]
     assert rows(small) == rows(large) and small.count() == 4000
+    # A table beyond the bound, but rows within it.
+    few = facts.filter("id < 9")
+    meets = joins.lookup(few, table, "key", unique=F.col("id"), max_broadcast_rows=10, small=False)
+    assert rows(meets) == [r for r in rows(small) if r[0] < 9] and "approx_top_k" not in meets._jdf.queryExecution().toString()
 
 
 def test_hot_rows_are_spread(spark):
