@@ -981,7 +981,7 @@ def password_reuse(t):
 
 @query(
     oracle(
-        "select leak_id, count(*) as addresses, count_if(shared) as shared_addresses from (select leak_id, k, "
+        "select leak_id, count(*) as addresses, cast(count_if(shared) as bigint) as shared_addresses from (select leak_id, k, "
         "count(*) over (partition by k) > 1 as shared from (select distinct length(event_type) as leak_id, "
         "upper(concat('u', cast(user_id as string))) as k from events)) group by 1"
     )

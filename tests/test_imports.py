@@ -1,13 +1,15 @@
 import os
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from breachlens.functions.values import SPYCLOUD_SOURCE
 from breachlens.operators import changes, lookups
 from breachlens.plans import imports
 from breachlens.plans.store import Store
-from breachlens.schemas import DIRECTORY, LEAK_CSV_COLUMNS
+from breachlens.schemas import DIRECTORY, LEAK_CSV_COLUMNS, SPYCLOUD_COLUMNS
 from breachlens.streaming.folder import stream_import
 
 from .conftest import rows
@@ -76,6 +78,62 @@ def test_feed_end_to_end(spark, folder, reference):
     assert (leak.id, leak.summary, leak.ticket_id, leak.source_name) == (1, "feed", "T-1", SPYCLOUD_SOURCE)
 
 
+MAIL = st.sampled_from(["a@x.co", "a@X.co", "A@x.co", "b@x.co", "not one", None])
+FEED = st.lists(st.tuples(MAIL, st.sampled_from(["p", "q", None]), st.sampled_from(["x.co", "y.co"])), max_size=16)
+HELD = st.lists(
+    st.tuples(st.sampled_from([1, 2]), st.sampled_from(["a@x.co", "a@X.co", "b@x.co"]), st.sampled_from("pq"),
+              st.sampled_from(["x.co", None])),
+    max_size=3, unique_by=lambda h: h[:3],
+)
+
+
+def one_by_one(held, feed):
+    """The import as the loop it replaces: check, look up, normalize, insert or count."""
+    table = {key: [i + 1, 1] for i, key in enumerate(held)}
+    pairs = {(email, password) for _, email, password, _ in held}
+    bad = dropped = 0
+    for email, password, domain in feed:
+        if email in (None, "not one") or password is None:
+            bad += 1
+        elif (email, password) in pairs:
+            dropped += 1
+        else:
+            local, host = email.split("@")
+            stored = f"{local}@{host.lower()}"
+            pairs.add((stored, password))
+            slot = table.setdefault((1, stored, password, domain), [len(table) + 1, 0])
+            slot[1] += 1
+    return bad, dropped, table
+
+
+@settings(max_examples=6, deadline=None)
+@given(HELD, FEED, st.sampled_from([0, 1000]))
+def test_feed_import_agrees_with_the_loop(spark, held, feed, bound):
+    stored = spark.createDataFrame(
+        [(i + 1, *key, 1) for i, key in enumerate(held)],
+        "id long, leak_id long, email string, password string, domain string, count_seen long",
+    )
+    cells = "email string, password string, email_domain string, src_ord long"
+    arriving = spark.createDataFrame([(*r, i) for i, r in enumerate(feed)], cells).withColumns(
+        {"src_file": F.lit("f"), "src_block": F.lit(0).cast("long")}
+        | {c: F.lit("x") for c in ("breach_title", "domain", "email_username")}
+    )
+    scan = arriving.withColumns({c: F.lit(None).cast("string") for c in SPYCLOUD_COLUMNS if c not in arriving.columns})
+    nobody = imports.Reference(
+        vips=spark.createDataFrame([], "email_key string"), directory=spark.createDataFrame([], DIRECTORY)
+    )
+    result = imports.import_feed(scan, stored=stored, leak_id=1, reference=nobody, max_broadcast_rows=bound)
+    bad, dropped, table = one_by_one(held, feed)
+    report = result.report.first()
+    assert (report.rejected, report.duplicates) == (bad, dropped)
+    raised = dict(rows(result.raises.select("id", "n")))
+    after = {
+        (r.leak_id, r.email, r.password, r.domain): [r.id, r.count_seen + raised.get(r.id, 0)]
+        for r in stored.unionByName(result.inserts.select(*stored.columns)).collect()
+    }
+    assert after == table
+
+
 def test_second_import_finds_the_leak_and_drops_known_rows(spark, folder, reference):
     store = Store(spark, folder + "/store")
     path = write(folder, "a.csv", LINES)
