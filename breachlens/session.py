@@ -2,12 +2,18 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The JVM never compiles a method of more than 8000 bytes. Spark's own limit is far higher, so the code it makes for a wide
+# row with a test per column would be interpreted, several times slower. With this limit it cuts such code up.
+METHOD_LIMIT = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 # What a cluster job should set. Sizes follow the data: AQE starts from many small shuffle partitions and
 # merges them to ``advisoryPartitionSizeInBytes``, so one setting serves a laptop and 100 TB.
 CLUSTER_CONF = {
+    **METHOD_LIMIT,
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
@@ -27,6 +33,7 @@ def local_session(cores="*", shuffle_partitions=8, **conf) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": "12g",
+        **METHOD_LIMIT,
         **conf,
     }
     for key, value in settings.items():
@@ -57,6 +64,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Used where several results come from one costly input, or where a position must not change when a
     lost executor's work is redone. Parquet rather than ``checkpoint()``: later readers prune columns.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with settings(spark, METHOD_LIMIT):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: dict):
+    """Session settings for one write; what was set before is set again afterwards."""
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
