@@ -218,7 +218,8 @@ def import_spycloud_files(
 def import_scanned_feed(
     spark, store: Store, rows, *, ticket_id, summary, reference, run_ts, batch, outputs=(), **options
 ) -> ImportResult:
-    """The same for rows already scanned. Each of ``outputs`` is called with the outcome after the commit."""
+    """The same for rows already scanned. Each of ``outputs`` is called with the outcome after the commit, and again
+    if the batch is run again, so it should be able to take a batch twice."""
     if not ticket_id or not summary:
         raise ValueError("an import needs a ticket id and a summary")
     wanted = spark.createDataFrame([(summary, ticket_id)], "summary string, ticket_id string")

@@ -66,3 +66,19 @@ def test_bulk_dedupe_reads_two_columns_of_the_store(spark, t, folder):
     store.commit("one", inserts=t.target.limit(500))
     text = plan(dedupe.drop_known(t.batch, store.rows(), order=["id"], unique=F.col("id"), max_broadcast_rows=0))
     assert "ReadSchema: struct<email:string,password:string>" in text
+
+
+def test_staging_leaves_the_session_as_it_was(spark, t):
+    from breachlens.session import METHOD_LIMIT, settings, staged
+
+    key = next(iter(METHOD_LIMIT))
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "12345")
+    try:
+        copy = staged(t.cred, "test")
+        assert spark.conf.get(key) == "12345" and copy.count() == t.cred.count() and copy.dtypes == t.cred.dtypes
+        with pytest.raises(RuntimeError), settings(spark, {key: "1", "spark.sql.own.setting": "x"}):
+            raise RuntimeError
+        assert spark.conf.get(key) == "12345" and spark.conf.get("spark.sql.own.setting", None) is None
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
