@@ -151,7 +151,7 @@ def import_rows_of_leak(
 ) -> ImportResult:
     """Scanned generic rows -> upsert into a known leak. No dedupe and no enrichment."""
     began = time.monotonic()
-    if leaks.filter(F.col("id") == leak_id).limit(2).count() != 1:
+    if len(leaks.filter(F.col("id") == leak_id).select("id").take(2)) != 1:
         raise UnknownLeak(f"leak {leak_id} not found")
     judged = staged(normalize.leak_csv_to_internal(rows).withColumn("passes", F.lit(True)), "feed")
     good, _ = normalize.split_valid(judged)

@@ -20,6 +20,20 @@ def test_heavy_keys_are_named(spark):
     assert found.join(hot, "_h", "left_semi").count() == 1
 
 
+def test_size_check(spark):
+    context = spark.sparkContext
+    big = spark.range(0, 10**9, 1, 500)
+    context.setJobGroup("size", "size")
+    assert not joins.fits_broadcast(big, 1000)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("size") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(tracker.getStageInfo(s).numCompletedTasks for s in stages) < 10
+    assert joins.fits_broadcast(spark.range(1000), 1000) and not joins.fits_broadcast(spark.range(1001), 1000)
+    assert joins.fits_broadcast(spark.range(0), 1) and not joins.fits_broadcast(spark.range(1), 0)
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("v"))
+    assert joins.fits_broadcast(wide, 10, 20000) and not joins.fits_broadcast(wide, 10, 9000)
+
+
 def test_lookup_is_the_same_beyond_the_bound(spark):
     facts = skewed(spark)
     table = spark.createDataFrame([("hot", 1), ("k3", 2), ("k5", None), (None, 9)], "key string, v int")
