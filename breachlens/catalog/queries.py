@@ -868,7 +868,8 @@ _SCANNED = "cleared as (select * replace (" + ", ".join(
         "from (select *, row_number() over (partition by email_stored, password order by src_ord) as rn from judged "
         "where error_msg is null) where rn = 1 group by 1, 2, 3", "plain_feed",
         also=f"{_SCANNED}, {_MAPPED}, {_JUDGED}",
-    )
+    ),
+    name="stream_import",
 )
 def stream_import_feed(t):
     """ST1: the feed lands as CSV files, a stream imports them in several micro-batches into an empty store."""
