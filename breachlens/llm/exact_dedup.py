@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .common import GAP, attach
 
-#: Runs merged at once in a round, and rounds: 4 ** 3 = 64 lanes.
-FAN_IN, ROUNDS = 4, 3
+#: Rounds of the merge, and the least number of lanes as a power of two.
+ROUNDS, LEAST_BITS = 3, 6
 
 
 def normalized(text) -> Column:
@@ -15,28 +15,35 @@ def normalized(text) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), GAP, " ")
 
 
-def merge_runs(runs: DataFrame, fan_in: int = FAN_IN, rounds: int = ROUNDS) -> DataFrame:
+def lane_bits(spark) -> list[int]:
+    """Bits of the lane number that each round settles: as many lanes as the session has shuffle partitions, to a power of two."""
+    bits = max(LEAST_BITS, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    return [bits * (r + 1) // ROUNDS - bits * r // ROUNDS for r in range(ROUNDS)]
+
+
+def merge_runs(runs: DataFrame, bits: list[int]) -> DataFrame:
     """(digest, text_sha256, n_bytes, keep_id, group_size) for the whole table, from one sorted run per lane.
 
-    ``runs`` has a row per (lane, digest) with the smallest id and the number of texts. In round r every lane trades with the
-    ``fan_in - 1`` lanes whose numbers differ from its own in digit r only: each takes the part of the others' runs whose
-    digests have its own digit there, and merges what arrives with its own, all at once. After the last round a lane holds
+    ``runs`` has a row per (lane, digest) with the smallest id and the number of texts. In a round every lane trades with the
+    ``2 ** bits`` lanes whose numbers differ from its own in those bits only: each takes the part of the others' runs whose
+    digests have its own bits there, and merges what arrives with its own, all at once. After the last round a lane holds
     one run for its share of the digests, so no task ever sees more than its share, and a text that is copied
     a million times is one row of each run. The order key is a 64-bit digest; entries are only taken as
     equal when SHA-256 and length agree as well, in each merge.
     """
-    lanes = fan_in**rounds
-    for r in range(rounds):
-        unit = fan_in**r
-        digit = F.pmod(F.floor(F.col("digest") / F.lit(unit)), F.lit(fan_in))
-        own = F.pmod(F.floor(F.col("lane") / F.lit(unit)), F.lit(fan_in))
+    settled = 0
+    for width in bits:
+        mask = ((1 << width) - 1) << settled
+        theirs = F.col("digest").bitwiseAND(F.lit(mask))
+        others = F.col("lane").bitwiseAND(F.lit(~mask & ((1 << sum(bits)) - 1)))
         runs = (
-            runs.withColumn("lane", (F.col("lane") + (digit - own) * unit).cast("int"))
-            .repartitionById(lanes, F.col("lane"))
+            runs.withColumn("lane", others.bitwiseOR(theirs).cast("int"))
+            .repartitionById(1 << sum(bits), F.col("lane"))
             .groupBy("lane", "digest", "text_sha256", "n_bytes")
             .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
             .sortWithinPartitions("lane", "digest", "text_sha256")
         )
+        settled += width
     return runs.drop("lane")
 
 
@@ -48,14 +55,14 @@ def exact_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     often as they stand there, all with the same verdict. Other columns are not looked at. An empty table gives no rows.
     """
     text = normalized(text_col)
-    lanes = FAN_IN**ROUNDS
+    bits = lane_bits(documents.sparkSession)
     digests = staged(
         documents.select(F.col(id_col).alias("doc_id"), text.alias("_text")).select(
             "doc_id",
             F.xxhash64("_text").alias("digest"),
             F.sha2("_text", 256).alias("text_sha256"),
             F.octet_length("_text").cast("long").alias("n_bytes"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).cast("int").alias("lane"),
+            F.xxhash64("doc_id").bitwiseAND(F.lit((1 << sum(bits)) - 1)).cast("int").alias("lane"),
         ),
         "digests",
     )
@@ -65,7 +72,7 @@ def exact_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col:
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .sortWithinPartitions("lane", "digest", "text_sha256")
     )
-    merged = merge_runs(runs).select(F.struct(*equal).alias("_key"), "keep_id", "group_size")
+    merged = merge_runs(runs, bits).select(F.struct(*equal).alias("_key"), "keep_id", "group_size")
     rows = digests.select("doc_id", F.struct(*equal).alias("_key"))
     return attach(rows, merged, "_key", spread="doc_id").select(
         "doc_id",
