@@ -1,0 +1,121 @@
+"""Exact and near duplicates against brute force."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from breachlens.llm import near_dedup
+from breachlens.llm.components import connected_components
+from breachlens.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
+from breachlens.llm.near_dedup import drop_near_duplicates, near_duplicates
+
+GAP, WORD = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text, width):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
+
+
+def brute_components(rows, width):
+    """{doc_id: component}; rows are (id, text)."""
+    sets = {i: shingles(t, width) for i, t in rows}
+    name = {i: i for i in sets}
+
+    def root(x):
+        while name[x] != x:
+            x = name[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root(a), root(b)))
+                name[high] = low
+    return {i: root(i) for i in ids}, sets
+
+
+def test_exact_on_messy_rows(messy):
+    rows = [(r.doc_id, GAP.sub(" ", r.text or "")) for r in messy.collect()]
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(text, []).append(i)
+    wanted = []
+    for i, text in rows:
+        keep = min((x for x in groups[text] if x is not None), default=None)
+        wanted.append((i, keep, len(groups[text]), i == keep, hashlib.sha256(text.encode()).hexdigest()))
+    found = [tuple(r)[:5] for r in exact_duplicates(messy).collect()]
+    assert sorted(found, key=repr) == sorted(wanted, key=repr)
+
+
+def test_exact_stage_keeps_one_row_per_text_with_all_columns(messy):
+    left = drop_exact_duplicates(messy)
+    assert left.columns == messy.columns
+    texts = [GAP.sub(" ", r.text or "") for r in left.collect()]
+    assert len(texts) == len(set(texts)) == len({GAP.sub(" ", r.text or "") for r in messy.collect()})
+
+
+def test_exact_lanes_share_the_digests(spark):
+    rows = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 15000 as string) as text")
+    result = exact_duplicates(rows)
+    assert result.filter("kept").count() == 15_000
+    assert result.filter("group_size = 2").count() == 10_000
+
+
+def test_near_on_messy_rows(messy):
+    known = [(r.doc_id, r.text) for r in messy.filter("doc_id is not null").distinct().collect()]
+    wanted, sets = brute_components(known, 5)
+    found = near_duplicates(messy).collect()
+    assert len(found) == messy.count()
+    for row in found:
+        if row.doc_id is None:
+            assert row.component_id is None and row.kept
+        else:
+            assert (row.n_shingles, row.component_id, row.kept) == (len(sets[row.doc_id]), wanted[row.doc_id], wanted[row.doc_id] == row.doc_id)
+    assert drop_near_duplicates(messy).columns == messy.columns
+
+
+@pytest.mark.parametrize("small", [2, 32])
+def test_near_on_chains_of_edits(spark, monkeypatch, small):
+    """Copies with edits on both sides of the limit; with ``small`` 2 nearly all buckets go through the blocks."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    dice, rows = random.Random(4), []
+    for _ in range(6):
+        base = [f"w{dice.randrange(4000)}" for _ in range(90)]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(dice.randrange(6)):
+                words[dice.randrange(len(words))] = f"x{dice.randrange(9999)}"
+            rows.append((len(rows), " ".join(words)))
+    wanted, _ = brute_components(rows, 5)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == wanted
+    assert 6 < len(set(wanted.values())) < len(rows)
+
+
+def test_no_rows(empty):
+    assert exact_duplicates(empty).count() == near_duplicates(empty).count() == drop_exact_duplicates(empty).count() == drop_near_duplicates(empty).count() == 0
+
+
+def test_components(spark):
+    dice = random.Random(1)
+    links = [(dice.randrange(300), dice.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2300)]
+    name = {}
+
+    def root(x):
+        name.setdefault(x, x)
+        while name[x] != x:
+            x = name[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            low, high = sorted((root(a), root(b)))
+            name[high] = low
+    frame = spark.createDataFrame(links + [(None, 5), (7, None)], "a long, b long")
+    assert {r.node: r.component for r in connected_components(frame).collect()} == {x: root(x) for x in name}
