@@ -11,7 +11,8 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..operators.joins import fits_broadcast
+from ..session import scratch_path, staged
 from .common import attach
 
 #: Fixed values of the format.
@@ -22,13 +23,20 @@ PAGE = "urn:x-page:"
 #: Crawl time written to the records, unless another is given.
 DATE = "1970-01-01T00:00:00Z"
 
+#: Digests, of 32 letters, that may be broadcast.
+MOST_BROADCAST_ROWS = 200_000
+
 _CHUNK = 1 << 20
 _INDEX = "archive string, offset long, length long, record_id string, record_type string, target string, payload_digest string"
 
 
 def payload_digest(payload) -> Column:
     """The SHA-1 of a text's UTF-8 in base 32, without a prefix: five hex digits are four letters."""
-    digits = F.sha1(F.col(payload).cast("binary"))
+    # The lambda's argument is computed once; written out, the digest would be taken for every letter.
+    return F.transform(F.array(F.sha1(F.col(payload).cast("binary"))), _base32)[0]
+
+
+def _base32(digits):
     letters = []
     for group in range(8):
         number = F.conv(F.substring(digits, 1 + 5 * group, 5), 16, 10).cast("int")
@@ -39,16 +47,20 @@ def payload_digest(payload) -> Column:
 def records(pages: DataFrame, *, min_payload: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
     """(page_id, record): a record for each page, response or revisit, without the two line ends behind it.
 
-    Of pages with equal payloads of at least ``min_payload`` bytes the largest id is the response; the others refer to it. A hot payload
-    is dealt over many tasks, and payloads are shuffled once.
+    Of pages with equal payloads of at least ``min_payload`` bytes the largest id is the response; the others refer to it. Payloads are not
+    shuffled while the digests that occur twice pass the check for a broadcast; beyond it they are once, a hot one dealt to many tasks.
     """
     rows = pages.select(
         F.col(id_col).alias("page_id"),
         F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7F]", "%20").alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).alias("payload"),
     ).select("*", F.octet_length("payload").cast("long").alias("size"), payload_digest("payload").alias("digest"))
-    groups = rows.groupBy("digest").agg(F.max("page_id").alias("response"))
-    placed = attach(rows, groups, "digest", spread="page_id")
+    groups = rows.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies"))
+    twice = staged(groups.filter("copies > 1").drop("copies"), "payloads")
+    if fits_broadcast(twice, MOST_BROADCAST_ROWS):
+        placed = rows.join(F.broadcast(twice), "digest", "left")
+    else:
+        placed = attach(rows, groups, "digest", spread="page_id")
     revisit = (F.col("size") >= min_payload) & F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
     body = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
@@ -207,7 +219,8 @@ def normalise_archives(spark: SparkSession, streams: str, folder: str) -> DataFr
                     schema=pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]),
                 )
 
-    return paths.repartition("path").mapInArrow(run, "archive string, records long, bytes long")
+    # With a number given, the few rows are not put together into one task again.
+    return paths.repartition(max(1, paths.count())).mapInArrow(run, "archive string, records long, bytes long")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -215,10 +228,10 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(_INDEX).option("pathGlobFilter", "*.idx").json(folder)
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
+def read_records(index: DataFrame, folder: str, archives: int) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload): each record read through its place in the index.
 
-    A response's payload must have the length and digest that its head names; a revisit has no payload, and both are taken from the head.
+    ``archives`` is the number of tasks. A response's payload must have the length and digest that its head names; a revisit has no payload, and both are taken from the head.
     """
     schema = pa.schema(
         [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
@@ -240,7 +253,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    ordered = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    ordered = index.select("archive", "offset", "length").repartition(archives, "archive").sortWithinPartitions("archive", "offset")
     return ordered.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
@@ -277,7 +290,7 @@ def archived(pages: DataFrame, folder: str | None = None, *, min_payload: int =
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     write_streams(records(pages, min_payload=min_payload, id_col=id_col, url_col=url_col, html_col=html_col), f"{folder}/streams")
-    made = normalise_archives(spark, f"{folder}/streams", f"{folder}/archives").agg(F.sum("records")).first()[0]
-    if not made:
+    made = normalise_archives(spark, f"{folder}/streams", f"{folder}/archives").agg(F.sum("records").alias("records"), F.count("*").alias("archives")).first()
+    if not made.records:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
-    return read_records(read_index(spark, f"{folder}/archives"), f"{folder}/archives")
+    return read_records(read_index(spark, f"{folder}/archives"), f"{folder}/archives", made.archives)

@@ -112,7 +112,9 @@ PAGES = [
 ]
 
 
-def test_archives_come_back(spark, folder):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_archives_come_back(spark, folder, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "MOST_BROADCAST_ROWS", broadcast)
     pages = spark.createDataFrame([(*p, "record") for p in PAGES], "page_id long, url string, html string, record string").repartition(3)
     found = warc.archived(pages, f"file://{folder}/warc").collect()
     groups = {}
