@@ -636,6 +636,21 @@ def leak_update(t):
     return texts(changes.update_leaks(t.leak, edits), *LEAK_TIMES)
 
 
+@query(
+    oracle(
+        LEAK_TEXT + "(select l.id, l.ingestion_ts, "
+        + ", ".join(f"case when c.id is null then l.{c} else c.{c} end as {c}" for c in LEAK_UPDATABLE)
+        + " from leak l left join c on l.id = c.id)", "leak",
+        also=f"every as (select {derived.select_list(_LEAK_CHANGE)} from part), c as (select * replace (place as id) from (select *, "
+        "id % 40 as place, row_number() over (partition by id % 40 order by id desc) as rn from every) where rn = 1)",
+    )
+)
+def leak_update_repeated(t):
+    """K2 with many changes to one id: the last along the given order counts."""
+    edits = t.given("part").selectExpr(*derived.projection(_LEAK_CHANGE)).withColumn("place", F.col("id"))
+    return texts(changes.update_leaks(t.leak, edits.withColumn("id", F.col("id") % 40), order=["place"]), *LEAK_TIMES)
+
+
 _COPIES = (
     "news as (select leak_id, email, password, domain, min(id) as first_id, count(*) as k from batch where domain is not null "
     "group by 1, 2, 3, 4)"
@@ -841,14 +856,14 @@ def import_report(t):
 @query(
     oracle(
         f"select id, n from (select t.id, n.k as n {_HELD.format(join='')}) union all select (select max(id) from target) "
-        f"+ row_number() over (order by first_id), count_seen from ({_NEW_ROWS})",
+        f"+ row_number() over (order by first_id), count_seen from ({_NEW_ROWS.replace('from batch', 'from of_one')})",
         "target", "batch",
-        also=_COPIES,
+        also="of_one as (select * from batch where leak_id = 1), " + _COPIES.replace("from batch", "from of_one"),
     )
 )
 def import_by_leak(t):
-    """Entry B over the same batch as text cells: ids touched and what their counters gain."""
-    flat = t.batch.withColumns({c: F.col(c).cast("string") for c in ["leak_id", *LEAK_CSV_COLUMNS]})
+    """Entry B over one leak's rows as text cells: ids touched and what their counters gain."""
+    flat = t.batch.filter("leak_id = 1").withColumns({c: F.col(c).cast("string") for c in ["leak_id", *LEAK_CSV_COLUMNS]})
     lineage = [F.lit("batch").alias("src_file"), F.lit(0).cast("long").alias("src_block"), F.col("id").alias("src_ord")]
     rows = flat.select(F.col("leak_id").cast("long").alias("leak_id"), *LEAK_CSV_COLUMNS, *lineage)
     done = imports.import_rows_of_leak(rows, stored=t.target, leaks=t.leak, leak_id=1)
@@ -887,8 +902,8 @@ def stream_import_feed(t):
 
 @query(
     oracle(
-        "select leak_id, email, password, domain, sum(n) as count_seen from (select leak_id, email, password, domain, 1 as n, "
-        "case when domain is null then id else -1 end as own from store union all select leak_id, email, password, domain, 1, "
+        "select leak_id, email, password, domain, sum(n) as count_seen from (select cast(1 as bigint) as leak_id, email, password, domain, 1 as n, "
+        "case when domain is null then id else -1 end as own from store union all select 1, email, password, domain, 1, "
         "case when domain is null then id else -1 end from batch) group by leak_id, email, password, domain, own",
         "store", "batch",
     ).replace("sum(n)", "cast(sum(n) as bigint)")
@@ -909,6 +924,95 @@ def stored_counts(t):
     return store.credentials().select(*KEY, "count_seen")
 
 
+_FAILS = "src_ord % 7 = 0"
+
+
+@query(
+    oracle(
+        "select src_ord, false as flagged from kept union all select src_ord, true from good g where not exists "
+        f"(select 1 from store s where s.email = g.email and s.password = g.password) and {_FAILS}",
+        "feed", "store", also=_IMPORT.replace("cand as (select * from good g where ", f"cand as (select * from good g where not {_FAILS} and "),
+    )
+)
+def import_enrich_failures(t):
+    """Rows that an enricher fails are flagged and not stored, and don't hide later copies."""
+    done = _import(t, enrichers=[lambda df: df.withColumn("error_msg", F.when(F.expr(_FAILS), F.lit("lookup failed")))])
+    stored = done.outcome.select("src_ord", F.lit(False).alias("flagged"))
+    return stored.unionByName(done.flagged.select("src_ord", F.col("needs_human_intervention").alias("flagged")))
+
+
+@query(
+    oracle(
+        "select email_stored as email, password from (select *, row_number() over (partition by email, password order by src_ord) as rn, "
+        "min(src_ord) over (partition by email_stored, password) as first_ord from judged where error_msg is null) "
+        "where email <> email_stored or src_ord = first_ord",
+        "feed", also=f"{_CLEARED}, {_MAPPED}, {_JUDGED}",
+    )
+)
+def import_outputs(t):
+    """K7: an output that dies after the commit gets the same rows when the batch is run again."""
+    store, got = Store(t.spark, scratch_path(t.spark, "store")), []
+    options = {
+        "ticket_id": "T-1", "summary": "outputs", "run_ts": run_ts(), "batch": "one",
+        "reference": imports.Reference(vips=t.vips, directory=t.directory),
+    }
+
+    def dies(df):
+        raise InterruptedError("lost")
+
+    try:
+        imports.import_scanned_feed(t.spark, store, t.feed, outputs=[dies], **options)
+    except InterruptedError:
+        imports.import_scanned_feed(t.spark, store, t.feed, outputs=[got.append], **options)
+    return got[0].select("email", "password")
+
+
+def _stored(t, table, raised=None):
+    """A store of ``table``, with counters raised."""
+    store = Store(t.spark, scratch_path(t.spark, "store"))
+    store.commit("rows", inserts=table.select(*LEAK_DATA.names))
+    if raised is not None:
+        store.commit("raises", raises=raised)
+    return store
+
+
+@query(oracle("select id, email, count_seen from store", "store"))
+def store_batches(t):
+    """Batches whose names look alike, or like the store's own, are all kept, also past a compaction."""
+    store = Store(t.spark, scratch_path(t.spark, "store"))
+    for place, (name, kind) in enumerate((("x/1", "batch"), ("x:1", "batch"), ("base", "batch"), ("x:1", "stream"))):
+        store.commit(name, kind=kind, inserts=t.store.filter(F.col("id") % 4 == place).select(*LEAK_DATA.names))
+        if place == 2:
+            store.compact()
+            store.commit("x/1", inserts=t.store.select(*LEAK_DATA.names))  # known, so not taken again
+    return store.credentials().select("id", "email", "count_seen")
+
+
+_RAISED = "case when id % 3 = 0 then 2 else 0 end"
+
+
+@query(
+    oracle(
+        f"select id, email, count_seen + {_RAISED} as count_seen from store where upper(email) in (select upper(email) from batch)",
+        "store", "batch",
+    )
+)
+def stored_users_by_emails(t):
+    """F1 in bulk over a stored table with counter raises."""
+    raised = t.store.filter("id % 3 = 0").select("id", F.upper("email").alias("email_key"), F.lit(2).cast("long").alias("n"))
+    asked = t.batch.select("email")
+    found = lookups.rows_for_emails(_stored(t, t.store, raised).credentials(asked), asked)
+    return found.select("id", "email", "count_seen")
+
+
+@query(oracle("select id, email, case when id % 5 = 0 then 'Edge' else browser end as browser, count_seen from target", "target"))
+def stored_cred_update(t):
+    """K5 on a stored table."""
+    store = _stored(t, t.target)
+    store.update_credentials(t.target.filter("id % 5 = 0").withColumn("browser", F.lit("Edge")))
+    return store.credentials().select("id", "email", "browser", "count_seen")
+
+
 # ---- the same lookups beyond the broadcast bound -------------------------------------------------
 
 

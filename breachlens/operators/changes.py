@@ -24,12 +24,19 @@ def append_leaks(leaks: DataFrame, new: DataFrame, *, run_ts: Column, order) ->
     return numbered.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in leaks.columns])
 
 
-def update_by_id(table: DataFrame, changes: DataFrame, columns) -> DataFrame:
+def update_by_id(table: DataFrame, changes: DataFrame, columns, *, order=None) -> DataFrame:
     """Replace ``columns`` in the rows ``changes`` names by id; a NULL in a change is written.
 
-    Ids are unique on both sides, so no task can be overloaded. Changes to unknown ids touch nothing.
+    Of several changes to one id the last along ``order`` counts; without an order they are an error. Changes to unknown ids
+    touch nothing. Ids are then unique on both sides, so no task can be overloaded.
     """
-    marked = changes.select("id", F.struct(*columns).alias("_new"))
+    new = F.struct(*columns)
+    if order is None:
+        repeated = F.raise_error(F.concat(F.lit("more than one change to id "), F.col("id").cast("string")))
+        one = F.when(F.count("*") > 1, repeated.cast("boolean"))
+        marked = changes.groupBy("id").agg(F.any_value(new).alias("_new"), one.alias("_one")).filter("_one is null").drop("_one")
+    else:
+        marked = changes.groupBy("id").agg(F.max_by(new, F.struct(*order)).alias("_new"))
     if fits_broadcast(marked):
         marked = F.broadcast(marked)
     joined = table.join(marked, "id", "left")
@@ -44,14 +51,14 @@ def update_by_id(table: DataFrame, changes: DataFrame, columns) -> DataFrame:
     )
 
 
-def update_leaks(leaks: DataFrame, changes: DataFrame) -> DataFrame:
+def update_leaks(leaks: DataFrame, changes: DataFrame, *, order=None) -> DataFrame:
     """K2: six columns are replaced, ``ingestion_ts`` is kept. A change without an id is an error."""
-    return update_by_id(leaks, _with_ids(changes), LEAK_UPDATABLE)
+    return update_by_id(leaks, _with_ids(changes), LEAK_UPDATABLE, order=order)
 
 
-def update_credentials(store: DataFrame, changes: DataFrame) -> DataFrame:
+def update_credentials(store: DataFrame, changes: DataFrame, *, order=None) -> DataFrame:
     """K5: fifteen columns are replaced, ``count_seen`` and ``target_domain`` are kept."""
-    return update_by_id(store, _with_ids(changes), LEAK_DATA_WRITABLE)
+    return update_by_id(store, _with_ids(changes), LEAK_DATA_WRITABLE, order=order)
 
 
 def _with_ids(changes):

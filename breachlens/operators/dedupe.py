@@ -74,6 +74,11 @@ def drop_known(
     return firsts.join(known.distinct(), join_key, "left_anti").select("_row.*")
 
 
+def drop_stored(incoming: DataFrame, store: DataFrame, key=DEDUPE_KEY, *, unique: Column, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows whose key is not stored, copies included (J1 alone)."""
+    return drop_matching(incoming, store.select(*key), list(key), unique=unique, max_broadcast_rows=max_broadcast_rows)
+
+
 def drop_known_in_feed(
     incoming: DataFrame,
     store: DataFrame,

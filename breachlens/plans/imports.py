@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..functions.values import DEFAULT_CREDENTIAL_TYPE, SPYCLOUD_SOURCE
+from ..functions.values import CREDENTIAL_TYPES, DEFAULT_CREDENTIAL_TYPE, SPYCLOUD_SOURCE
 from ..operators import changes, dedupe, normalize
 from ..operators.enrich import directory_fits, enrich
 from ..operators.ids import next_id
@@ -41,8 +41,10 @@ class Reference:
 class ImportResult:
     """What an import found. The staged feed and outcome exist; what goes to the store is worked out when asked for."""
 
-    def __init__(self, judged, outcome, *, stored, first_id, max_broadcast_rows, began):
-        self._judged, self._stored = judged, stored
+    already_applied = False
+
+    def __init__(self, judged, outcome, *, stored, first_id, max_broadcast_rows, began, failed=None):
+        self._judged, self._stored, self._failed = judged, stored, failed
         self._first_id, self._max_broadcast_rows = first_id, max_broadcast_rows
         self._began = began
         #: rows that go on to the store, with their flags
@@ -50,8 +52,15 @@ class ImportResult:
 
     @property
     def rejected(self) -> DataFrame:
-        """Rows set aside: the original line, the reasons, the position."""
-        return normalize.split_valid(self._judged)[1].select(*_ASIDE)
+        """Rows set aside, before or after enrichment: the original line, the reasons, the position."""
+        found = normalize.split_valid(self._judged)[1].select(*_ASIDE)
+        return found if self._failed is None else found.unionByName(self._failed.select(*_ASIDE))
+
+    @property
+    def flagged(self) -> DataFrame:
+        """Rows that failed in or after enrichment: returned for a person to look at, not stored."""
+        failed = self.outcome.limit(0) if self._failed is None else self._failed
+        return failed.withColumns({"notify": F.lit(False), "needs_human_intervention": F.lit(True)})
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -75,7 +84,21 @@ class ImportResult:
     @cached_property
     def report(self) -> DataFrame:
         """One row: the answer's envelope and the books (rows_in = count + duplicates + filtered + rejected)."""
-        return _report(self._judged, self.outcome, self.resolved, self._began)
+        return _report(self._judged, self.outcome, self.resolved, self._began, self._failed)
+
+
+class AlreadyApplied:
+    """The answer to a batch that was committed before: nothing was done again."""
+
+    already_applied = True
+
+    def __init__(self, store, batch, kind):
+        self._store, self._batch, self._kind = store, batch, kind
+
+    @property
+    def outcome(self) -> DataFrame:
+        """What the batch's first run handed to its outputs."""
+        return self._store.outcome(self._batch, self._kind)
 
 
 _ASIDE = ["original_line", "error_msg", *LINEAGE]
@@ -98,7 +121,8 @@ def import_feed(
     """Scanned SpyCloud rows -> checked, new, enriched credentials of one leak.
 
     Checks come before the dedupe, so a row that cannot be stored never hides a good copy of it. Enrichment comes
-    after, so it runs on the new rows only. Open to the caller: ``parser`` (scan -> checked internal rows),
+    after, so it runs on the new rows only. With ``enrichers``, which may set ``error_msg`` or spoil a column, every row that is not
+    stored yet is enriched and checked once more; failed rows are set aside, and one row per key is taken from the rest. Open to the caller: ``parser`` (scan -> checked internal rows),
     ``row_filter`` (a predicate on internal rows), ``enrichers`` (DataFrame -> DataFrame, after the built-in
     ones) and ``dedupe_key`` (add ``leak_id`` and ``domain`` to look at copies within one leak only).
     """
@@ -113,9 +137,13 @@ def import_feed(
         raise BadRows("the feed has rows that fail a check")
     unique = lineage_id()
     kept = normalize.filter_rows(good, F.col("passes")).drop("passes")
-    fresh = dedupe.drop_known_in_feed(
-        kept, stored, dedupe_key, order=LINEAGE, unique=unique, max_broadcast_rows=max_broadcast_rows
-    )
+    pinned = {"order": LINEAGE, "unique": unique, "max_broadcast_rows": max_broadcast_rows}
+    if reference.credential_type not in CREDENTIAL_TYPES:
+        raise ValueError(f"credential_type {reference.credential_type!r} is not a known type")
+    if enrichers:
+        fresh = dedupe.drop_stored(kept, stored, dedupe_key, unique=unique, max_broadcast_rows=max_broadcast_rows)
+    else:
+        fresh = dedupe.drop_known_in_feed(kept, stored, dedupe_key, **pinned)
     small_vips = fits_broadcast(reference.vips, max_broadcast_rows)
     small_directory = directory_fits(reference.directory, max_broadcast_rows)
     if not (small_vips and small_directory):
@@ -132,11 +160,15 @@ def import_feed(
         small_vips=small_vips,
         small_directory=small_directory,
     )
-    for more in enrichers:
-        outcome = outcome.transform(more)
+    failed = None
+    if enrichers:
+        for more in enrichers:
+            outcome = outcome.transform(more)
+        good, failed = normalize.split_valid(staged(normalize.check_output(outcome), "enriched"))
+        outcome = dedupe.drop_known_in_feed(good, stored.limit(0), dedupe_key, **pinned)
     outcome = staged(outcome.withColumn("email", F.col("email_stored")).drop("email_stored"), "outcome")
     return ImportResult(
-        judged, outcome, stored=stored, first_id=first_id, max_broadcast_rows=max_broadcast_rows, began=began
+        judged, outcome, stored=stored, first_id=first_id, max_broadcast_rows=max_broadcast_rows, began=began, failed=failed
     )
 
 
@@ -149,11 +181,12 @@ def import_rows_of_leak(
     first_id: int | None = None,
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> ImportResult:
-    """Scanned generic rows -> upsert into a known leak. No dedupe and no enrichment."""
+    """Scanned generic rows -> upsert into a known leak, whatever leak the rows name. No dedupe and no enrichment."""
     began = time.monotonic()
     if len(leaks.filter(F.col("id") == leak_id).select("id").take(2)) != 1:
         raise UnknownLeak(f"leak {leak_id} not found")
-    judged = staged(normalize.leak_csv_to_internal(rows).withColumn("passes", F.lit(True)), "feed")
+    filed = rows.withColumn("leak_id", F.lit(leak_id).cast("long"))
+    judged = staged(normalize.leak_csv_to_internal(filed).withColumn("passes", F.lit(True)), "feed")
     good, _ = normalize.split_valid(judged)
     return ImportResult(
         judged, good, stored=stored, first_id=first_id, max_broadcast_rows=max_broadcast_rows, began=began
@@ -167,7 +200,7 @@ def touched_rows(stored: DataFrame, result: ImportResult) -> DataFrame:
     return stored.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "id")
 
 
-def _report(judged, outcome, resolved, began) -> DataFrame:
+def _report(judged, outcome, resolved, began, failed=None) -> DataFrame:
     bad = F.col("error_msg").isNotNull()
     feed = judged.agg(
         F.count("*").alias("rows_in"),
@@ -177,14 +210,15 @@ def _report(judged, outcome, resolved, began) -> DataFrame:
     new = F.col("id").isNull()
     tally = resolved.agg(F.count_if(new).alias("inserted"), F.count_if(~new).alias("raised"))
     kept = outcome.count()
+    rejected = feed.rejected + (0 if failed is None else failed.count())
     return tally.select(
         F.lit(__version__).alias("version"),
         F.lit(round(time.monotonic() - began, 3)).alias("duration"),
         F.lit(kept).cast("long").alias("count"),
         F.lit(feed.rows_in).cast("long").alias("rows_in"),
-        F.lit(feed.rows_in - kept - feed.filtered - feed.rejected).cast("long").alias("duplicates"),
+        F.lit(feed.rows_in - kept - feed.filtered - rejected).cast("long").alias("duplicates"),
         F.lit(feed.filtered).cast("long").alias("filtered"),
-        F.lit(feed.rejected).cast("long").alias("rejected"),
+        F.lit(rejected).cast("long").alias("rejected"),
         "inserted",
         "raised",
         F.lit(True).alias("success"),
@@ -216,31 +250,43 @@ def import_spycloud_files(
 
 
 def import_scanned_feed(
-    spark, store: Store, rows, *, ticket_id, summary, reference, run_ts, batch, outputs=(), **options
-) -> ImportResult:
-    """The same for rows already scanned. Each of ``outputs`` is called with the outcome after the commit, and again
-    if the batch is run again, so it should be able to take a batch twice."""
+    spark, store: Store, rows, *, ticket_id, summary, reference, run_ts, batch, kind="batch", outputs=(), **options
+) -> ImportResult | AlreadyApplied:
+    """The same for rows already scanned.
+
+    A batch that is already committed is not worked through again; the answer says so. Each of ``outputs`` is called with the outcome
+    that was committed with the batch, and a mark is set when all have returned; a run of the batch after a crash before
+    that calls them again with the very same rows, so they should be able to take a batch twice.
+    """
     if not ticket_id or not summary:
         raise ValueError("an import needs a ticket id and a summary")
-    wanted = spark.createDataFrame([(summary, ticket_id)], "summary string, ticket_id string")
-    pairs, created = changes.find_or_create_leaks(
-        store.leaks(), wanted, run_ts=run_ts, source_name=SPYCLOUD_SOURCE
-    )
-    leak_id = pairs.first()["leak_id"]
-    result = import_feed(
-        rows, stored=store.rows(), leak_id=leak_id, reference=reference, first_id=store.next_id(), **options
-    )
-    store.commit(batch, inserts=result.inserts, raises=result.raises, leaks=created)
-    for output in outputs:
-        output(result.outcome)
+    if store.has(batch, kind):
+        result = AlreadyApplied(store, batch, kind)
+    else:
+        seen = store.mark()
+        wanted = spark.createDataFrame([(summary, ticket_id)], "summary string, ticket_id string")
+        pairs, created = changes.find_or_create_leaks(store.leaks(), wanted, run_ts=run_ts, source_name=SPYCLOUD_SOURCE)
+        leak_id = pairs.first()["leak_id"]
+        result = import_feed(rows, stored=store.rows(), leak_id=leak_id, reference=reference, first_id=store.next_id(), **options)
+        store.commit(
+            batch, kind=kind, inserts=result.inserts, raises=result.raises, leaks=created,
+            outcome=result.outcome if outputs else None, since=seen,
+        )
+    if outputs and not store.delivered(batch, kind):
+        for output in outputs:
+            output(store.outcome(batch, kind))
+        store.mark_delivered(batch, kind)
     return result
 
 
-def import_leak_files(spark, store: Store, paths, *, leak_id: int, batch: str, **options) -> ImportResult:
+def import_leak_files(spark, store: Store, paths, *, leak_id: int, batch: str, **options) -> ImportResult | AlreadyApplied:
     """Generic CSV files -> store, under a leak that must exist."""
+    if store.has(batch):
+        return AlreadyApplied(store, batch, "batch")
+    seen = store.mark()
     result = import_rows_of_leak(
         scan_leak_csv(spark, paths, leak_id), stored=store.rows(), leaks=store.leaks(), leak_id=leak_id,
         first_id=store.next_id(), **options,
     )
-    store.commit(batch, inserts=result.inserts, raises=result.raises)
+    store.commit(batch, inserts=result.inserts, raises=result.raises, since=seen)
     return result

@@ -5,57 +5,81 @@ An import appends: new credentials, and counter raises for known ones, each in a
 table; a job that dies leaves nothing visible; and a batch that is run again either finds its log row and
 stops, or replaces its own folders. Updates and ``compact`` write a new generation beside the current one.
 
-One writer at a time is assumed; readers may run at any time.
+A batch is known by its kind and the caller's text as it is; folders are named by a hash of both, so no two batches share
+one, and the store's own base can't be taken for a caller's batch. Readers may run at any time. Writers are expected one
+at a time; a writer that says what it has seen (``mark``) fails if another has committed since.
 """
 
-import re
+import hashlib
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import changes
 from ..operators.ids import next_id
+from ..operators.joins import keep_matching
 from ..schemas import LEAK, LEAK_DATA
+from ..session import staged
 
 _STORED = T.StructType(LEAK_DATA.fields + [T.StructField("email_key", T.StringType())])
 _RAISES = T.StructType(
     [T.StructField("id", T.LongType()), T.StructField("email_key", T.StringType()), T.StructField("n", T.LongType())]
 )
 _LOG = T.StructType(
-    [T.StructField("gen", T.IntegerType()), T.StructField("batch", T.StringType())]
+    [T.StructField("gen", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("batch", T.StringType())]
     + [T.StructField("max_id", T.LongType()), T.StructField("max_leak_id", T.LongType())]
     + [T.StructField("folded", T.BooleanType())]
 )
-_BASE = "base"
+_BASE = ("base", "")
 _KINDS = {"credentials": _STORED, "raises": _RAISES, "leaks": LEAK}
 
 
+class ConflictingWrite(RuntimeError):
+    """Another batch was committed after this one had taken its ids. Nothing became visible; run the import again."""
+
+
+class KeyClash(ValueError):
+    """An update would leave two credentials with one key."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     # ---- what is visible
 
-    def log(self) -> list:
-        """Committed batches of the current generation: one small row per batch."""
+    def _log_rows(self) -> DataFrame | None:
         try:
-            rows = self.spark.read.schema(_LOG).parquet(f"{self.root}/log/*").collect()
+            return self.spark.read.schema(_LOG).parquet(f"{self.root}/log/*")
         except AnalysisException as problem:
             if "PATH_NOT_FOUND" not in (problem.getCondition() or ""):
                 raise
+            return None
+
+    def log(self) -> list:
+        """Batches of the current generation since it was laid out: one small row per batch. ``compact`` makes them one."""
+        rows = self._log_rows()
+        if rows is None:
             return []
-        newest = max((r.gen for r in rows), default=0)
-        return [r for r in rows if r.gen == newest]
+        newest = rows.agg(F.max("gen")).first()[0]
+        return rows.filter((F.col("gen") == newest) & ~F.col("folded")).collect()
+
+    def mark(self) -> tuple:
+        """What is committed now, for ``commit(since=...)``."""
+        return tuple(sorted((r.gen, r.kind, r.batch) for r in self.log()))
 
-    def has(self, batch: str) -> bool:
-        return any(r.batch == _label(batch) for r in self.log())
+    def has(self, batch: str, kind: str = "batch") -> bool:
+        """Is the batch committed, be it folded into a later generation? ``kind`` keeps files, streams and others apart."""
+        rows = self._log_rows()
+        return rows is not None and not rows.filter((F.col("kind") == kind) & (F.col("batch") == batch)).isEmpty()
 
     def _read(self, kind: str) -> DataFrame:
         log, schema = self.log(), _KINDS[kind]
         if not log:
             return self._none(kind)
-        paths = [self._path(kind, r.gen, r.batch) for r in log if not r.folded]
+        paths = [self._path(kind, r.gen, _label(r.kind, r.batch)) for r in log]
         return self.spark.read.schema(schema).parquet(*paths)
 
     def _path(self, kind, gen, batch):
@@ -65,10 +89,19 @@ class Store:
         """Stored credentials as first written; ``count_seen`` is the first count. Enough for keys and dedupe."""
         return self._read("credentials")
 
-    def credentials(self) -> DataFrame:
-        """Stored credentials with current counters. A filter on ``email_key`` reaches both scans."""
-        raised = self._read("raises").groupBy("email_key", "id").agg(F.sum("n").alias("_n"))
-        joined = self.rows().join(raised, ["email_key", "id"], "left")
+    def credentials(self, asked: DataFrame | None = None) -> DataFrame:
+        """Stored credentials with current counters. A filter on ``email_key`` reaches both scans.
+
+        ``asked`` (a column ``email``, any case) limits both tables to its addresses before they are joined, so a table of questions
+        does not make the whole store travel.
+        """
+        stored, raised = self.rows(), self._read("raises")
+        if asked is not None:
+            keys = asked.select(F.upper("email").alias("email_key")).filter("email_key is not null").distinct()
+            stored = keep_matching(stored, keys, "email_key", unique=F.col("id"))
+            raised = keep_matching(raised, keys, "email_key", unique=F.col("id"))
+        raised = raised.groupBy("email_key", "id").agg(F.sum("n").alias("_n"))
+        joined = stored.join(raised, ["email_key", "id"], "left")
         seen = F.col("count_seen") + F.coalesce("_n", F.lit(0))
         return joined.select(*[seen.alias(c) if c == "count_seen" else F.col(c) for c in _STORED.names])
 
@@ -81,30 +114,72 @@ class Store:
         """First unused credential id, from the log."""
         return max((r.max_id for r in self.log()), default=0) + 1
 
-    def commit(self, batch: str, *, inserts=None, raises=None, leaks=None) -> bool:
-        """Append one batch: new credentials, counter raises, new leaks. False if the batch is already there."""
-        log = self.log()
-        label = _label(batch)
-        if any(r.batch == label for r in log):
+    def commit(
+        self, batch: str, *, kind: str = "batch", inserts=None, raises=None, leaks=None, outcome=None, since: tuple | None = None
+    ) -> bool:
+        """Append one batch: new credentials, counter raises, new leaks. False if the batch is already there.
+
+        ``outcome`` is kept with the batch for outputs. ``since`` is the ``mark`` under which ids were taken; if anything has been
+        committed since, ``ConflictingWrite`` is raised before the batch becomes visible.
+        """
+        if kind == _BASE[0]:
+            raise ValueError(f"batches of kind {kind!r} are the store's own")
+        if self.has(batch, kind):
             return False
-        gen = log[0].gen if log else 0
+        log = self.log()
+        gen, label = log[0].gen if log else 0, _label(kind, batch)
         self._write("credentials", gen, label, self._none("credentials") if inserts is None else _with_key(inserts))
         self._write("raises", gen, label, self._none("raises") if raises is None else raises)
         self._write("leaks", gen, label, self._none("leaks") if leaks is None else leaks)
-        self._publish(gen, label, log)
+        if outcome is not None:
+            outcome.write.mode("overwrite").parquet(f"{self.root}/outcome/{label}")
+        if since is not None and self.mark() != since:
+            raise ConflictingWrite(f"another batch was committed while {batch!r} was being written")
+        self._publish(gen, kind, batch, log)
         return True
 
+    def outcome(self, batch: str, kind: str = "batch") -> DataFrame:
+        """What was kept with a committed batch."""
+        return self.spark.read.parquet(f"{self.root}/outcome/{_label(kind, batch)}")
+
+    def delivered(self, batch: str, kind: str = "batch") -> bool:
+        try:
+            return not self.spark.read.schema("batch string").parquet(f"{self.root}/delivered/{_label(kind, batch)}").isEmpty()
+        except AnalysisException as problem:
+            if "PATH_NOT_FOUND" not in (problem.getCondition() or ""):
+                raise
+            return False
+
+    def mark_delivered(self, batch: str, kind: str = "batch") -> None:
+        row = self.spark.createDataFrame([(batch,)], "batch string").coalesce(1)
+        row.write.mode("overwrite").parquet(f"{self.root}/delivered/{_label(kind, batch)}")
+
+    def update_credentials(self, edits: DataFrame, *, order=None) -> None:
+        """K5 on the stored table: fifteen columns by id, counters kept. See ``changes.update_by_id`` for repeated ids.
+
+        A key that two rows would hold raises ``KeyClash`` and leaves the store as it was.
+        """
+        updated = staged(changes.update_credentials(self.credentials().drop("email_key"), edits, order=order), "updated")
+        if not changes.duplicate_keys(updated).isEmpty():
+            raise KeyClash("the update leaves a key with more than one credential")
+        self.rewrite(credentials=updated)
+
+    def update_leaks(self, edits: DataFrame, *, order=None) -> None:
+        """K2 on the stored table."""
+        self.rewrite(leaks=staged(changes.update_leaks(self.leaks(), edits, order=order), "updated"))
+
     def rewrite(self, *, credentials: DataFrame | None = None, leaks: DataFrame | None = None) -> None:
         """Replace whole tables (after an update by id) by a new generation; what is not given is carried over."""
         log = self.log()
         gen = log[0].gen + 1 if log else 0
         # Lookups prune files by address; an address with very many rows is cut by id.
         laid_out = _with_key(self.credentials() if credentials is None else credentials)
-        self._write("credentials", gen, _BASE, laid_out.repartitionByRange("email_key", "id"))
-        self._write("raises", gen, _BASE, self._none("raises"))
-        self._write("leaks", gen, _BASE, self.leaks() if leaks is None else leaks)
-        # Batches folded into this generation stay known, or a late replay would count twice.
-        self._publish(gen, _BASE, log, folded=[r.batch for r in log if r.batch != _BASE])
+        label = _label(*_BASE)
+        self._write("credentials", gen, label, laid_out.repartitionByRange("email_key", "id"))
+        self._write("raises", gen, label, self._none("raises"))
+        self._write("leaks", gen, label, self.leaks() if leaks is None else leaks)
+        # Batches folded into this generation stay known by their rows in the log, or a late replay would count twice.
+        self._publish(gen, *_BASE, log)
 
     def compact(self) -> None:
         """Fold the counter raises into the rows and lay the table out by address."""
@@ -113,16 +188,17 @@ class Store:
     def _none(self, kind):
         return self.spark.createDataFrame([], _KINDS[kind])
 
-    def _publish(self, gen, label, log, folded=()):
-        def top(kind, before):
-            written = self.spark.read.schema(_KINDS[kind]).parquet(self._path(kind, gen, label))
+    def _publish(self, gen, kind, batch, log):
+        label = _label(kind, batch)
+
+        def top(table, before):
+            written = self.spark.read.schema(_KINDS[table]).parquet(self._path(table, gen, label))
             return max(next_id(written) - 1, *before, 0)
 
         top_id = top("credentials", [r.max_id for r in log])
         top_leak = top("leaks", [r.max_leak_id for r in log])
-        entries = [(gen, label, top_id, top_leak, False)] + [(gen, b, top_id, top_leak, True) for b in folded]
-        entry = self.spark.createDataFrame(entries, _LOG).coalesce(1)
-        entry.write.mode("overwrite").parquet(f"{self.root}/log/{gen}-{label}")
+        entry = self.spark.createDataFrame([(gen, kind, batch, top_id, top_leak, False)], _LOG).coalesce(1)
+        entry.write.mode("errorifexists").parquet(f"{self.root}/log/{gen}-{label}")
 
     def _write(self, kind, gen, label, rows):
         schema = _KINDS[kind]
@@ -133,8 +209,8 @@ class Store:
         writer.parquet(self._path(kind, gen, label))
 
 
-def _label(batch: str) -> str:
-    return re.sub(r"[^A-Za-z0-9._-]", "_", batch)
+def _label(kind: str, batch: str) -> str:
+    return f"{kind}-{hashlib.sha256(f'{kind}/{batch}'.encode()).hexdigest()[:40]}"
 
 
 def _with_key(credentials):

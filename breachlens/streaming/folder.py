@@ -45,13 +45,11 @@ def stream_import(
 
     def take(batch_df, batch_id):
         batch = f"{name}-{batch_id}"
-        if store.has(batch):
-            return
         numbered = batch_df.withColumn("src_ord", F.monotonically_increasing_id())
         rows = cells(numbered, header, SPYCLOUD_COLUMNS, na=SPYCLOUD_NA)
         import_scanned_feed(
             batch_df.sparkSession, store, rows, ticket_id=ticket_id, summary=summary, reference=reference,
-            run_ts=F.current_timestamp() if run_ts is None else run_ts, batch=batch, **options,
+            run_ts=F.current_timestamp() if run_ts is None else run_ts, batch=batch, kind="stream", **options,
         )
 
     writer = placed.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(take)

@@ -16,10 +16,10 @@ def batch(spark, pairs):
 
 
 def test_known_and_unseen(spark):
-    store = batch(spark, [("aaron@example.com", "12345")])
-    asked = batch(spark, [("aaron@example.com", "12345"), ("aaron999735@example.com", "12345XXX"),
-                          ("Aaron@example.com", "12345"), ("aaron@example.com", None), ("aaron@example.com", None),
-                          ("aaron999735@example.com", "12345XXX"), (None, "12345")])
+    store = batch(spark, [("mira@example.org", "first-pw")])
+    asked = batch(spark, [("mira@example.org", "first-pw"), ("nobody7@example.org", "other-pw"),
+                          ("Mira@example.org", "first-pw"), ("mira@example.org", None), ("mira@example.org", None),
+                          ("nobody7@example.org", "other-pw"), (None, "first-pw")])
     for bound in (0, 1000):
         fresh = dedupe.drop_known(asked, store, order=["id"], unique=F.col("id"), max_broadcast_rows=bound)
         assert [r[0] for r in rows(fresh)] == [1, 2, 3, 4, 6]

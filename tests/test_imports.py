@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from breachlens.functions.values import SPYCLOUD_SOURCE
 from breachlens.operators import changes, lookups
 from breachlens.plans import imports
-from breachlens.plans.store import Store
-from breachlens.schemas import DIRECTORY, LEAK_CSV_COLUMNS, SPYCLOUD_COLUMNS
+from breachlens.plans.store import ConflictingWrite, KeyClash, Store
+from breachlens.schemas import DIRECTORY, LEAK_CSV_COLUMNS, LEAK_DATA, SPYCLOUD_COLUMNS
 from breachlens.streaming.folder import stream_import
 
 from .conftest import rows
@@ -250,18 +250,102 @@ def test_update_and_compact(spark, folder, reference):
     load(spark, store, path, reference, batch="b2")
     before = rows(store.credentials())
     store.compact()
-    assert rows(store.credentials()) == before and [r.batch for r in store.log() if not r.folded] == ["base"]
+    assert rows(store.credentials()) == before and [r.kind for r in store.log()] == ["base"]
     # A folded batch is still known.
     load(spark, store, path, reference, batch="b2")
     assert rows(store.credentials()) == before
     edits = store.credentials().filter("id = 3").withColumn("browser", F.lit("Edge"))
-    store.rewrite(credentials=changes.update_credentials(store.credentials().drop("email_key"), edits))
+    store.update_credentials(edits)
     assert [r.browser for r in lookups.by_value(store.credentials(), "id", 3).collect()] == ["Edge"]
     assert store.leaks().count() == 1 and store.next_id() == 5
     load(spark, store, write(folder, "c.csv", [line("late@x.co")]), reference, batch="b4")
     assert store.credentials().count() == 5
 
 
+def test_names_of_batches_are_never_mixed_up(spark, folder, reference):
+    store = Store(spark, folder + "/store")
+    names = [("x/1", "batch"), ("x:1", "batch"), ("base", "batch"), ("x:1", "stream"), ("", "batch")]
+    inserts = spark.createDataFrame([{"id": 1, "email": "a@x.co", "count_seen": 1}], "id long, email string, count_seen int")
+    full = inserts.select(*[F.col(f.name) if f.name in inserts.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in LEAK_DATA])
+    for n, (name, kind) in enumerate(names):
+        assert not store.has(name, kind)
+        assert store.commit(name, kind=kind, inserts=full.withColumn("id", F.lit(n + 1)))
+        if n == 2:
+            store.compact()
+        assert store.has(name, kind) and not store.commit(name, kind=kind, inserts=full)
+    assert store.credentials().count() == len(names)
+    with pytest.raises(ValueError):
+        store.commit("x", kind="base")
+
+
+def test_the_second_of_two_racing_writers_fails(spark, folder, reference):
+    store = Store(spark, folder + "/store")
+    seen = store.mark()
+    load(spark, store, write(folder, "a.csv", LINES), reference)
+    before = rows(store.credentials())
+    with pytest.raises(ConflictingWrite):
+        Store(spark, folder + "/store").commit("other", inserts=store.credentials().drop("email_key"), since=seen)
+    assert rows(store.credentials()) == before and not store.has("other")
+
+
+def test_a_known_batch_is_not_worked_through_again(spark, folder, reference):
+    store, path = Store(spark, folder + "/store"), write(folder, "a.csv", LINES)
+    assert not load(spark, store, path, reference).already_applied
+    assert load(spark, store, folder + "/not-there.csv", reference, collector=lambda spark, paths: None).already_applied
+
+
+def test_outputs_get_the_same_rows_after_a_crash(spark, folder, reference):
+    store, path, seen = Store(spark, folder + "/store"), write(folder, "a.csv", LINES), []
+
+    def dies(df):
+        raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        load(spark, store, path, reference, outputs=[dies])
+    assert store.credentials().count() == 4
+    for _ in range(2):
+        load(spark, store, path, reference, outputs=[lambda df: seen.append(df.count())])
+    assert seen == [5]
+
+
+def test_failed_enrichment_is_flagged_and_not_stored(spark, folder, reference):
+    store = Store(spark, folder + "/store")
+    lines = [line("amy@x.co"), line("amy@x.co"), line("bob@x.co"), line("cat@x.co")]
+
+    def enricher(df):
+        failed = F.when(F.col("src_ord") == df.agg(F.min("src_ord")).first()[0], F.lit("directory down"))
+        return df.withColumn("error_msg", failed).withColumn("email", F.when(F.col("email") == "cat@x.co", F.lit("no address")).otherwise(F.col("email")))
+
+    result = load(spark, store, write(folder, "a.csv", lines), reference, enrichers=[enricher])
+    assert rows(store.credentials().select("email")) == [("amy@x.co",), ("bob@x.co",)]
+    assert rows(result.flagged.select("notify", "needs_human_intervention")) == [(False, True)] * 2
+    assert rows(result.rejected.select("error_msg")) == [("directory down",), ("email: not a valid address",)]
+    report = result.report.first()
+    assert (report.rows_in, report["count"], report.duplicates, report.rejected) == (4, 2, 0, 2)
+
+
+def test_update_checks_keys_and_repeats(spark, folder, reference):
+    store = Store(spark, folder + "/store")
+    load(spark, store, write(folder, "a.csv", [line("amy@x.co"), line("bob@x.co")]), reference)
+    amy = store.credentials().filter("email = 'amy@x.co'").drop("email_key")
+    with pytest.raises(KeyClash):
+        store.update_credentials(amy.withColumn("id", F.lit(3) - F.col("id")))
+    twice = amy.withColumn("browser", F.lit("A")).unionByName(amy.withColumn("browser", F.lit("B")))
+    with pytest.raises(Exception, match="more than one change"):
+        store.update_credentials(twice)
+    store.update_credentials(twice, order=["browser"])
+    assert rows(store.credentials().select("email", "browser")) == [("amy@x.co", "B"), ("bob@x.co", None)]
+
+
+def test_bulk_lookup_over_raises(spark, folder, reference):
+    store, path = Store(spark, folder + "/store"), write(folder, "a.csv", LINES)
+    load(spark, store, path, reference)
+    load(spark, store, path, reference, batch="b2")
+    asked = spark.createDataFrame([("VIP@x.co",), ("nobody@x.co",), (None,)], "email string")
+    found = rows(lookups.rows_for_emails(store.credentials(asked), asked))
+    assert found == rows(lookups.rows_for_emails(store.credentials(), asked)) and len(found) == 2
+
+
 def test_stream_equals_batch(spark, folder, reference):
     everything = LINES + [line(f"user{i}@x.co") for i in range(20)]
     for i in range(3):
