@@ -124,7 +124,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     )
     sample = bounded_sample(agreed, "quality", "_id", PER_LABEL, MOST_ROWS)
     rows = documents.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
-    ordered = rows.select("_doc", "text", F.col("quality").cast("int").alias("quality")).coalesce(1).sortWithinPartitions("_doc", "text")
+    ordered = rows.select("_doc", "text", F.col("quality").cast("int").alias("quality")).repartition(1).sortWithinPartitions("_doc", "text")
     found = ordered.mapInArrow(_train_in_task, "model binary").first()
     return bytes(found.model) if found else train([], np.array([], np.int64)).tobytes()
 
