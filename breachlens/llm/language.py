@@ -145,7 +145,7 @@ def fit(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sample = bounded_sample(usable, "lang", "_id", PER_LANGUAGE, MOST_ROWS)
     rows = documents.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
     lettered = rows.filter(F.col("text").rlike(r"\p{L}")).select("_doc", "text", "lang")
-    found = lettered.coalesce(1).sortWithinPartitions("_doc", "text").mapInArrow(_train_in_task, "model binary").first()
+    found = lettered.repartition(1).sortWithinPartitions("_doc", "text").mapInArrow(_train_in_task, "model binary").first()
     return bytes(found.model) if found else Model([]).to_bytes()
 
 
