@@ -87,7 +87,8 @@ def exact_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col:
 def drop_exact_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; a row repeated with the same id and text stays once."""
     kept = exact_duplicates(documents, id_col=id_col, text_col=text_col).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text")).distinct()
-    marked = documents.withColumn("_kept_text_here", F.sha2(normalized(text_col), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_kept_text_here") == F.col("_kept_text"))
-    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "_kept_text_here"]).select(*documents.columns)
+    kept = kept.select(F.struct("doc_id", "text_sha256").alias("_kept")).distinct()
+    # One key for the join and for dropping repeats, so the texts are shuffled once. Structs are equal where both ids are null.
+    key = F.struct(F.col(id_col).alias("doc_id"), F.sha2(normalized(text_col), 256).alias("text_sha256"))
+    marked = documents.withColumn("_kept", key)
+    return marked.join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*documents.columns)
