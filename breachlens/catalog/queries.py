@@ -612,6 +612,23 @@ def leak_append(t):
     return texts(t.leak.unionByName(added), *LEAK_TIMES)
 
 
+_DAY = "concat('2024-05-', lpad(cast(c_custkey % 28 + 1 as string), 2, '0')"
+
+
+@query(
+    oracle(
+        LEAK_TEXT + "(select * from leak union all by name select (select max(id) from leak) + row_number() over "
+        f"(order by c_custkey) as id, timestamp '2024-03-02 00:00:00' as ingestion_ts, cast({_DAY}, ' 10:00:00') as timestamp) as breach_ts, "
+        f"{derived.select_list(_NEW_LEAK)} from customer)", "leak",
+    )
+)
+def leak_append_text(t):
+    """K1 with times as text."""
+    new = t.given("customer").selectExpr("c_custkey", f"{_DAY}, 'T10:00:00Z') as breach_ts", *derived.projection(_NEW_LEAK))
+    added = changes.append_leaks(t.leak, new, run_ts=run_ts(), order=["c_custkey"])
+    return texts(t.leak.unionByName(added), *LEAK_TIMES)
+
+
 _LEAK_CHANGE = {
     "id": "p_partkey + 3",
     "summary": "p_name",

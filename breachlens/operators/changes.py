@@ -16,7 +16,11 @@ from .joins import BROADCAST_ROWS, drop_matching, fits_broadcast, keep_matching,
 
 
 def append_leaks(leaks: DataFrame, new: DataFrame, *, run_ts: Column, order) -> DataFrame:
-    """New leak rows with ids and ``ingestion_ts``, in the table's columns (K1). A row without a summary is an error."""
+    """New leak rows with ids and ``ingestion_ts``, in the table's columns (K1). A row without a summary is an error.
+
+    Times may come as text, with or without a zone; text that is no time is an error.
+    """
+    new = new.withColumns({f.name: _time(f.name) for f in new.schema if f.name in _TIMES and f.dataType.typeName() == "string"})
     missing = F.raise_error(F.lit("summary not given")).cast("string")
     stamped = new.withColumn("summary", F.coalesce("summary", missing)).withColumn("ingestion_ts", run_ts)
     numbered = with_dense_ids(stamped, order, next_id(leaks))
@@ -24,6 +28,15 @@ def append_leaks(leaks: DataFrame, new: DataFrame, *, run_ts: Column, order) ->
     return numbered.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in leaks.columns])
 
 
+_TIMES = ("breach_ts", "source_publish_ts")
+
+
+def _time(name):
+    value = F.col(name).try_cast("timestamp")
+    wrong = F.raise_error(F.concat(F.lit(f"{name}: not a time: "), F.col(name))).cast("timestamp")
+    return F.when(F.col(name).isNotNull() & value.isNull(), wrong).otherwise(value)
+
+
 def update_by_id(table: DataFrame, changes: DataFrame, columns, *, order=None) -> DataFrame:
     """Replace ``columns`` in the rows ``changes`` names by id; a NULL in a change is written.
 
@@ -79,14 +92,15 @@ def duplicate_keys(store: DataFrame, key=LEAK_DATA_KEY) -> DataFrame:
 def find_or_create_leaks(leaks: DataFrame, wanted: DataFrame, *, run_ts: Column, source_name: str):
     """``wanted`` (summary, ticket_id) -> (pairs with leak_id and ``created``, leak rows to append).
 
-    The smallest id wins where several leaks share summary and ticket.
+    The smallest id wins where several leaks share summary and ticket. A wanted pair without one of them is an error.
     """
     pair = ["summary", "ticket_id"]
-    pairs = wanted.select(*pair).dropna().distinct()
+    missing = F.raise_error(F.lit("a leak is found by summary and ticket_id; one is missing")).cast("string")
+    pairs = wanted.select(*[F.coalesce(F.col(c), missing).alias(c) for c in pair]).distinct()
     held = keep_matching(leaks, pairs, pair, unique=F.col("id")).groupBy(*pair).agg(F.min("id").alias("leak_id"))
     resolved = pairs.join(held, pair, "left")
-    missing = resolved.filter("leak_id is null").select(*pair, F.lit(source_name).alias("source_name"))
-    created = append_leaks(leaks, missing, run_ts=run_ts, order=pair)
+    absent = resolved.filter("leak_id is null").select(*pair, F.lit(source_name).alias("source_name"))
+    created = append_leaks(leaks, absent, run_ts=run_ts, order=pair)
     answer = (
         resolved.filter("leak_id is not null")
         .withColumn("created", F.lit(False))

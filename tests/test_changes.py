@@ -132,13 +132,30 @@ def test_update_of_credentials_keeps_counter_and_target(spark):
 
 def test_find_or_create(spark):
     before = leaks(spark, [(3, "s", "t", None), (2, "s", "t", None), (4, "s", "other", None)])
-    wanted = spark.createDataFrame([("s", "t"), ("s", "t"), ("s", "new"), ("a", "t"), ("s", None)], "summary string, ticket_id string")
+    wanted = spark.createDataFrame([("s", "t"), ("s", "t"), ("s", "new"), ("a", "t")], "summary string, ticket_id string")
     answer, created = changes.find_or_create_leaks(
         before, wanted, run_ts=F.lit("2024-03-01").cast("timestamp"), source_name="SpyCloud"
     )
     assert rows(answer) == [("a", "t", 5, True), ("s", "new", 6, True), ("s", "t", 2, False)]
     assert rows(created.select("id", "source_name", "summary")) == [(5, "SpyCloud", "a"), (6, "SpyCloud", "s")]
     assert [f.name for f in created.schema] == [f.name for f in LEAK]
+    half = spark.createDataFrame([("s", None)], "summary string, ticket_id string")
+    with pytest.raises(Exception, match="one is missing"):
+        changes.find_or_create_leaks(before, half, run_ts=F.lit("2024-03-01").cast("timestamp"), source_name="SpyCloud")
+
+
+def test_times_as_text(spark):
+    before = leaks(spark, [(4, "s", "t", None)])
+    new = spark.createDataFrame(
+        [(0, "a", "2024-05-01T10:00:00Z"), (1, "b", "2024-05-01 12:00:00+02:00"), (2, "c", None)], "pos int, summary string, breach_ts string"
+    )
+    options = {"run_ts": F.lit("2024-03-01").cast("timestamp"), "order": ["pos"]}
+    added = changes.append_leaks(before, new, **options)
+    assert [str(r.t) for r in added.orderBy("id").select(F.col("breach_ts").cast("string").alias("t")).collect()] == [
+        "2024-05-01 10:00:00", "2024-05-01 10:00:00", "None"
+    ]
+    with pytest.raises(Exception, match="not a time"):
+        changes.append_leaks(before, new.withColumn("breach_ts", F.lit("soon")), **options).collect()
 
 
 def test_split_by_known_leak(spark):
