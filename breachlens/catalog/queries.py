@@ -154,6 +154,33 @@ def scan_short_lines(t):
     return files.split_bad_lines(scan)[0].select("email", "password")
 
 
+@query(oracle("select 'OK' as status, email, password from batch", "batch"))
+def scan_status(t):
+    """The rows and how the scan went."""
+    written = t.batch.withColumns({c: F.col(c).cast("string") for c in LEAK_CSV_COLUMNS})
+    status, rows = files.collect_csv(t.spark, _write_feed(t, written, "status-csv", LEAK_CSV_COLUMNS), LEAK_CSV_COLUMNS)
+    return rows.select(F.lit(status).alias("status"), "email", "password")
+
+
+@query(
+    "select distinct upper(concat('Vip', cast(c_custkey % 100 as string), '@Example.com')) as email_key from customer"
+)
+def scan_vip_list(t):
+    """One address a line, in any case, with white space of all kinds around it."""
+    line = "concat(' \t', case when c_custkey % 2 = 0 then 'Vip' else 'vIP' end, cast(c_custkey % 100 as string), '@Example.com \t')"
+    folder = scratch_path(t.spark, "vips")
+    t.given("customer").select(F.expr(line)).write.text(folder)
+    return files.scan_vips(t.spark, folder)
+
+
+@query(oracle("select email_key, dept, user_id, status from people", "people"))
+def scan_directory_snapshot(t):
+    """Directory entries as JSON lines, then one row per address."""
+    folder = scratch_path(t.spark, "directory")
+    t.directory.write.json(folder)
+    return enrich.people(files.scan_directory(t.spark, folder)).select("email_key", "dept", "user_id", "status")
+
+
 @query(oracle(LEAK_TEXT + "leak", "leak"))
 def leak_all(t):
     return texts(t.leak, *LEAK_TIMES)
@@ -205,6 +232,27 @@ _ERROR = (
 )
 
 
+@query(
+    "select l_orderkey, l_linenumber, case when l_linenumber <> 3 then l_extendedprice end as price, l_returnflag from lineitem"
+)
+def normalize_nan(t):
+    """NaN becomes NULL in floating columns."""
+    price = F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("l_extendedprice")).alias("price")
+    return normalize.clear_nan(t.given("lineitem").select("l_orderkey", "l_linenumber", price, "l_returnflag"))
+
+
+_ORIGINAL = "concat('{', concat_ws(',', " + ", ".join(
+    f"case when {c} is not null then concat('\"{c}\":\"', {c}, '\"') end" for c in SPYCLOUD_COLUMNS
+) + "), '}')"
+
+
+@query(oracle(f"select src_ord, {_ORIGINAL} as original_line from cleared where {_ERROR} is not null", "feed", also=_CLEARED))
+def original_lines(t):
+    """The text a rejected row is kept as."""
+    checked = normalize.check_input(normalize.clear_sentinels(t.feed))
+    return normalize.split_valid(checked)[1].select("src_ord", "original_line")
+
+
 @query(
     oracle(
         f"select src_ord, {_ERROR} as error_msg, {_ERROR} is null as notify, "
@@ -558,9 +606,8 @@ def enrich_chain(t):
 )
 def fk_check(t):
     rows = t.given("events").select(F.col("event_id").alias("id"), (F.col("user_id") + 1).alias("leak_id"))
-    good, bad = changes.split_by_known_leak(rows, t.leak, unique=F.col("id"))
-    both = good.withColumn("known", F.lit(True)).unionByName(bad.withColumn("known", F.lit(False)))
-    return both.withColumnRenamed("leak_id", "user_leak")
+    marked = changes.mark_known_leak(rows, t.leak, unique=F.col("id"))
+    return marked.withColumnsRenamed({"leak_id": "user_leak", "leak_known": "known"})
 
 
 # ---- table changes -------------------------------------------------------------------------------
@@ -880,39 +927,93 @@ def import_report(t):
 )
 def import_by_leak(t):
     """Entry B over one leak's rows as text cells: ids touched and what their counters gain."""
+    done = imports.import_rows_of_leak(_rows_of_one_leak(t), stored=t.target, leaks=t.leak, leak_id=1)
+    return done.raises.select("id", "n").unionByName(done.inserts.select("id", F.col("count_seen").alias("n")))
+
+
+def _rows_of_one_leak(t):
     flat = t.batch.filter("leak_id = 1").withColumns({c: F.col(c).cast("string") for c in ["leak_id", *LEAK_CSV_COLUMNS]})
     lineage = [F.lit("batch").alias("src_file"), F.lit(0).cast("long").alias("src_block"), F.col("id").alias("src_ord")]
-    rows = flat.select(F.col("leak_id").cast("long").alias("leak_id"), *LEAK_CSV_COLUMNS, *lineage)
-    done = imports.import_rows_of_leak(rows, stored=t.target, leaks=t.leak, leak_id=1)
-    return done.raises.select("id", "n").unionByName(done.inserts.select("id", F.col("count_seen").alias("n")))
+    return flat.select(F.col("leak_id").cast("long").alias("leak_id"), *LEAK_CSV_COLUMNS, *lineage)
+
+
+@query(
+    oracle(
+        f"select t.id, t.email, t.count_seen + n.k as count_seen, false as is_new {_HELD.format(join='')} union all "
+        "select (select max(id) from target) + row_number() over (order by first_id), email, count_seen, true "
+        f"from ({_NEW_ROWS.replace('from batch', 'from of_one')})", "target", "batch",
+        also="of_one as (select * from batch where leak_id = 1), " + _COPIES.replace("from batch", "from of_one"),
+    )
+)
+def import_touched_rows(t):
+    """F11 after an import into a stored table: the rows it touched, with current counters."""
+    store = _stored(t, t.target)
+    done = imports.import_rows_of_leak(
+        _rows_of_one_leak(t), stored=store.rows(), leaks=t.leak, leak_id=1, first_id=store.next_id()
+    )
+    store.commit("one", inserts=done.inserts, raises=done.raises)
+    return imports.touched_rows(store.credentials(), done).select("id", "email", "count_seen", "is_new")
+
+
+_HOOKED = _IMPORT.replace("ip_addresses as ip", "cast(null as varchar) as ip").replace(
+    "good as (select * from judged where error_msg is null)",
+    f"good as (select * from judged where error_msg is null and not {_INTERNAL})",
+)
+
+
+@query(
+    oracle(
+        "select k.src_ord, email_stored as email, k.password, k.domain, hash_algo, k.ip from kept k", "feed", "store",
+        also=_HOOKED.replace("password_type as hash_algo", "cast(null as varchar) as hash_algo"),
+    )
+)
+def import_hooks(t):
+    """A caller's collector, parser (the mapping by names) and row filter (outsiders only), in one import."""
+    store = _stored(t, t.store)
+    done = imports.import_spycloud_files(
+        t.spark, store, "unused", ticket_id="T-1", summary="hooks", batch="hooks", run_ts=run_ts(),
+        reference=imports.Reference(vips=t.vips, directory=t.directory),
+        collector=lambda spark, paths: t.feed,
+        parser=lambda rows: normalize.parse_spycloud(rows, normalize.BY_NAME_MAPPING),
+        row_filter=text.is_external(F.col("email")),
+    )
+    return done.outcome.select("src_ord", "email", "password", "domain", "hash_algo", "ip")
 
 
 # Landing files go through the scan first, which knows more spellings of "missing" than the parser.
 _SCANNED = "cleared as (select * replace (" + ", ".join(
     f"case when {c} not in ({quoted([*SPYCLOUD_NA, 'nan', 'Unknown'] if c == 'breach_date' else [*SPYCLOUD_NA, 'nan'])}) "
     f"then {c} end as {c}" for c in SPYCLOUD_COLUMNS
-) + ") from plain_feed)"
+) + ") from feed)"
 
 
 @query(
     oracle(
-        "select email_stored as email, password, domain, count(*) as rows, cast(sum(1) as bigint) as times_seen "
-        "from (select *, row_number() over (partition by email_stored, password order by src_ord) as rn from judged "
-        "where error_msg is null) where rn = 1 group by 1, 2, 3", "plain_feed",
+        "select email_stored as email, password, domain, cast(1 as bigint) as rows, cast(count_if(email <> email_stored) + "
+        "max(case when email = email_stored then 1 else 0 end) as bigint) as times_seen from judged "
+        "where error_msg is null group by 1, 2, 3", "feed",
         also=f"{_SCANNED}, {_MAPPED}, {_JUDGED}",
     ),
     name="stream_import",
 )
 def stream_import_feed(t):
-    """ST1: the feed lands as CSV files, a stream imports them in several micro-batches into an empty store."""
-    landing = _write_feed(t, t.plain_feed.repartition(4), "landing", split=4)
+    """ST1: the feed lands as CSV files, a stream imports them in several micro-batches into an empty store.
+
+    Rows in another spelling land after a restart of the stream: each raises the counter of its stored row.
+    """
+    landing = scratch_path(t.spark, "landing")
+    usual = F.col("email").isNull() | (F.col("email") == text.normalize_email(F.col("email")))
     store = Store(t.spark, scratch_path(t.spark, "store"))
     reference = imports.Reference(vips=t.vips, directory=t.directory)
-    running = stream_import(
-        t.spark, store, landing, name="feed", checkpoint=scratch_path(t.spark, "stream"), ticket_id="T-1",
-        summary="stream", reference=reference, run_ts=run_ts(), files_per_batch=2,
-    )
-    running.awaitTermination()
+    checkpoint = scratch_path(t.spark, "stream")
+    for part in (t.feed.filter(usual), t.feed.filter(~usual)):
+        lines = part.select(*SPYCLOUD_COLUMNS).repartition(4)
+        lines.write.mode("append").option("header", True).option("nullValue", "").csv(landing)
+        running = stream_import(
+            t.spark, store, landing, name="feed", checkpoint=checkpoint, ticket_id="T-1", summary="stream",
+            reference=reference, run_ts=run_ts(), files_per_batch=2,
+        )
+        running.awaitTermination()
     kept = store.credentials().groupBy("email", "password", "domain")
     return kept.agg(F.count("*").alias("rows"), F.sum("count_seen").alias("times_seen"))
 
@@ -1022,6 +1123,20 @@ def stored_users_by_emails(t):
     return found.select("id", "email", "count_seen")
 
 
+_ASKED_PASSWORDS = "asked as (select distinct " + derived.ASKED_PASSWORD + " as password from part)"
+
+
+@query(
+    oracle(
+        "select a.password, count(c.id) as count from asked a left join store c on a.password in "
+        "(c.password, c.password_plain, c.password_hashed) group by 1", "store", also=_ASKED_PASSWORDS,
+    )
+)
+def stored_exists_by_passwords(t):
+    """A2 in bulk over a stored table."""
+    return lookups.counts_by_password(_stored(t, t.store).rows(), t.asked_passwords)
+
+
 @query(oracle("select id, email, case when id % 5 = 0 then 'Edge' else browser end as browser, count_seen from target", "target"))
 def stored_cred_update(t):
     """K5 on a stored table."""
@@ -1104,16 +1219,12 @@ def password_reuse(t):
 @query(
     oracle(
         "select leak_id, count(*) as addresses, cast(count_if(shared) as bigint) as shared_addresses from (select leak_id, k, "
-        "count(*) over (partition by k) > 1 as shared from (select distinct length(event_type) as leak_id, "
-        "upper(concat('u', cast(user_id as string))) as k from events)) group by 1"
+        "count(*) over (partition by k) > 1 as shared from (select distinct leak_id, upper(email) as k from cred)) group by 1",
+        "cred",
     )
 )
 def leak_overlap(t):
-    spread = t.given("events").select(
-        F.length("event_type").cast("long").alias("leak_id"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("email"),
-    )
-    return stats.leak_overlap(spread)
+    return stats.leak_overlap(t.cred)
 
 
 # ---- volume: the same operators over line items --------------------------------------------------

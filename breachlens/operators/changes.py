@@ -10,7 +10,7 @@ from ..schemas import LEAK_DATA_KEY, LEAK_DATA_WRITABLE, LEAK_UPDATABLE
 from ..session import staged
 from .dedupe import first_per_key, match_keys, with_match_key
 from .ids import next_id, with_dense_ids
-from .joins import BROADCAST_ROWS, drop_matching, fits_broadcast, keep_matching, lookup
+from .joins import BROADCAST_ROWS, fits_broadcast, keep_matching, lookup, mark_matching
 
 # ---- leaks ---------------------------------------------------------------------------------------
 
@@ -111,11 +111,13 @@ def find_or_create_leaks(leaks: DataFrame, wanted: DataFrame, *, run_ts: Column,
 
 def split_by_known_leak(rows: DataFrame, leaks: DataFrame, *, unique: Column):
     """(rows whose leak exists, rows whose leak does not)."""
-    ids = leaks.select(F.col("id").alias("leak_id"))
-    return (
-        keep_matching(rows, ids, "leak_id", unique=unique),
-        drop_matching(rows, ids, "leak_id", unique=unique),
-    )
+    marked = mark_known_leak(rows, leaks, unique=unique)
+    return marked.filter("leak_known").drop("leak_known"), marked.filter("not leak_known").drop("leak_known")
+
+
+def mark_known_leak(rows: DataFrame, leaks: DataFrame, *, unique: Column) -> DataFrame:
+    """J7 in one pass: ``leak_known`` on every row; a row without a leak id has none."""
+    return mark_matching(rows, leaks.select(F.col("id").alias("leak_id")), "leak_id", unique=unique, name="leak_known")
 
 
 # ---- credentials ---------------------------------------------------------------------------------
@@ -157,15 +159,17 @@ def resolve_batch(
     unique: Column,
     key=LEAK_DATA_KEY,
     max_broadcast_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """The batch reduced to one row per key: ``_row``, ``_copies`` and the stored ``id`` (NULL if new).
 
     Only the id and key columns of the store are read. A batch of bounded size is broadcast into that scan;
-    a bigger one meets it by one shuffle on the key, the same its own grouping has used.
+    a bigger one meets it by one shuffle on the key, the same its own grouping has used. ``small`` hands in a size check
+    of the batch's keys that the caller has already made.
     """
     join_key = [*key[:-1], "_k"]
     asked = match_keys(batch, key)
-    small = fits_broadcast(batch.select(*key), max_broadcast_rows)
+    small = fits_broadcast(batch.select(*key), max_broadcast_rows) if small is None else small
     hits = match_keys(store, key, "id").join(F.broadcast(asked) if small else asked.distinct(), join_key, "left_semi")
     return first_per_key(batch, key, order, unique).join(hits, join_key, "left")
 
@@ -199,12 +203,14 @@ def insert_or_get(store: DataFrame, batch: DataFrame, *, order, unique: Column,
     """
     join_key = [*key[:-1], "_k"]
     batch = batch.drop("id")
-    resolved = staged(resolve_batch(store, batch, order=order, unique=unique, key=key), "resolved")
+    small = fits_broadcast(batch.select(*key))
+    resolved = staged(resolve_batch(store, batch, order=order, unique=unique, key=key, small=small), "resolved")
     new = resolved.filter("id is null").select("_row.*", "_k", F.lit(1).alias("_copies"))
     new = with_dense_ids(new, order, next_id(store))
     known = resolved.filter("id is not null").select(*join_key, "id", F.lit(False).alias("inserted"))
     ids = known.unionByName(new.select(*join_key, "id", F.lit(True).alias("inserted")))
-    answer = lookup(with_match_key(batch, key, unique), ids, join_key, unique=unique).drop("_k")
+    # The ids are one row per key of the batch, so the check of the batch's keys bounds them too.
+    answer = lookup(with_match_key(batch, key, unique), ids, join_key, unique=unique, small=small).drop("_k")
     return new.select(*[_table_column(field, new.columns) for field in store.schema]), answer
 
 

@@ -69,7 +69,11 @@ def drop_known(
     join_key = [*key[:-1], "_k"]
     known = match_keys(store, key)
     if fits_broadcast(incoming.select(*key), max_broadcast_rows):
-        known = known.join(F.broadcast(match_keys(incoming, key)), join_key, "left_semi")
+        # Known keys of a bounded batch are bounded as well: its known rows go before anything of it is sorted or shuffled.
+        known = known.join(F.broadcast(match_keys(incoming, key)), join_key, "left_semi").distinct()
+        marked = with_match_key(incoming, key, unique)
+        unknown = marked.join(F.broadcast(known), join_key, "left_anti").select(*incoming.columns)
+        return keep_first(unknown, key, order=order, unique=unique)
     firsts = first_per_key(incoming, key, order, unique)
     return firsts.join(known.distinct(), join_key, "left_anti").select("_row.*")
 

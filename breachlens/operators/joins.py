@@ -12,11 +12,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settings
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 256 << 20
 HEAVY_KEYS = 4096
 _TRACKED = 16384
 _SKETCH_GROUPS = 1024
+# A size check starts with this many partitions, so an ordinary small table is decided by one job.
+_FIRST_LOOK = {"spark.sql.limit.initialNumPartitions": "8"}
 
 
 def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -25,8 +29,11 @@ def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     The row check reads no columns and only as many partitions as decide it (``take``, unlike ``isEmpty`` or
     ``count``, goes on from partition to partition); the texts are only summed up for a table whose rows are few. Where ``table`` is costly to compute, hand in what it is made from.
     """
-    if max_rows <= 0 or table.select(F.lit(1)).offset(max_rows).take(1):
+    if max_rows <= 0:
         return False
+    with settings(table.sparkSession, _FIRST_LOOK):
+        if table.select(F.lit(1)).offset(max_rows).take(1):
+            return False
     cells = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in table.columns]
     size = reduce(lambda a, b: a + b, cells, F.lit(16).cast("long"))
     return (table.agg(F.sum(size)).first()[0] or 0) <= max_bytes

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
+from ..session import staged
 from .joins import BROADCAST_ROWS, fits_broadcast, keep_matching
 
 
@@ -102,8 +103,9 @@ def counts_for(values: DataFrame, asked: DataFrame, key: str, *, max_broadcast_r
     Counting is two-step, so a key that owns a third of the rows reaches the shuffle as one partial
     count per task. Bounded questions first shrink the scan to their own keys.
     """
-    questions = asked.select(key).distinct()
-    if fits_broadcast(asked, max_broadcast_rows):
+    # Asked for three times below, so written once, whatever plan they come from.
+    questions = staged(asked.select(key).distinct(), "asked")
+    if fits_broadcast(questions, max_broadcast_rows):
         values = values.join(F.broadcast(questions), key, "left_semi")
     counted = values.groupBy(key).agg(F.count("*").alias("count"))
     return questions.join(counted, key, "left").select(key, F.coalesce("count", F.lit(0)).alias("count"))
