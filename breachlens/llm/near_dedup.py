@@ -1,6 +1,7 @@
 """Near-duplicate documents: universal hash minima, banding, checks on signatures and on full sets, components."""
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,6 @@ from .components import connected_components
 
 #: 32 bands of 4 minima: a pair at a similarity of 0.8 shares no band once in 20 million pairs.
 BANDS, ROWS = 32, 4
-#: A link at 0.8 has an estimate below this (four standard deviations less) about once in 30,000 links, in every bucket
-#: it is a candidate in.
-LOWEST_ESTIMATE = 0.66
 #: Buckets up to this size are compared pair by pair in a join; larger ones in blocks.
 SMALL_BUCKET = 32
 BLOCK = 256
@@ -80,6 +78,20 @@ def _sets(width):
     return sets
 
 
+def least_agreement(percent: int) -> int:
+    """The largest number of equal minima below which a link at ``percent`` falls no more often than it shares no band.
+
+    Both by the binomial; a link's estimate is the same in every bucket, so a higher limit would lose it for good.
+    """
+    similar, minima = min(percent, 100) / 100, BANDS * ROWS
+    no_band, below = (1 - similar**ROWS) ** BANDS, 0.0
+    for agreeing in range(minima):
+        below += math.comb(minima, agreeing) * similar**agreeing * (1 - similar) ** (minima - agreeing)
+        if below > no_band:
+            return agreeing
+    return minima
+
+
 def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row: documents linked at a Jaccard similarity of ``percent`` or more.
 
@@ -161,7 +173,7 @@ def _links(texts, reps, width, percent):
 
 
 def _confirmed(pairs, reps, sets, percent):
-    """The pairs (a, b) whose estimate is high enough and whose full sets are similar enough."""
+    """The pairs (a, b) whose estimate does not rule a link out and whose full sets are similar enough."""
     signs = reps.select("rep", "signature")
     agree = F.aggregate(
         F.zip_with("_sa", "_sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda total, same: total + same
@@ -169,7 +181,7 @@ def _confirmed(pairs, reps, sets, percent):
     likely = (
         pairs.join(signs.select(F.col("rep").alias("a"), F.col("signature").alias("_sa")), "a")
         .join(signs.select(F.col("rep").alias("b"), F.col("signature").alias("_sb")), "b")
-        .filter(agree >= LOWEST_ESTIMATE * BANDS * ROWS)
+        .filter(agree >= least_agreement(percent))
         .select("a", "b")
     )
     common = F.size(F.array_intersect("_xa", "_xb")).cast("long")

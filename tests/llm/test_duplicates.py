@@ -1,6 +1,7 @@
 """Exact and near duplicates against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -98,6 +99,34 @@ def test_near_on_chains_of_edits(spark, monkeypatch, small):
     assert 6 < len(set(wanted.values())) < len(rows)
 
 
+@pytest.mark.parametrize("small", [1, 32])
+def test_near_at_exactly_the_limit(spark, monkeypatch, small):
+    """Pairs of 45 words with 40 in common, among them four whose estimate is below 0.66; with ``small`` 1 buckets go through the blocks too."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
+    rows, low, far = [], [4648, 10332, 15521, 24355], []
+    for seed in [*low, *range(40)]:
+        drawn = random.Random(seed).sample(range(10**6), 50)
+        texts = [" ".join(f"w{x}" for x in words) for words in (drawn[:45], drawn[:40] + drawn[45:])]
+        a, b = (near_dedup.signature(x) for x in near_dedup.shingle_sets([t.encode() for t in texts], 1))
+        if seed in low:
+            assert 76 <= (a == b).sum() < 0.66 * 128
+        rows += [(len(rows) + i, t) for i, t in enumerate(texts)]
+    for seed in range(40):
+        drawn = random.Random(-1 - seed).sample(range(10**6, 2 * 10**6), 51)
+        far += [len(rows), len(rows) + 1]
+        rows += [(len(rows) + i, " ".join(f"w{x}" for x in words)) for i, words in enumerate((drawn[:45], drawn[:39] + drawn[45:]))]
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect()}
+    assert found == {i: i if i in far else i - i % 2 for i, _ in rows}
+
+
+def test_the_estimate_loses_no_more_than_the_bands():
+    for percent in (50, 80, 95):
+        s, least = percent / 100, near_dedup.least_agreement(percent)
+        lost = [sum(math.comb(128, k) * s**k * (1 - s) ** (128 - k) for k in range(n)) for n in (least, least + 1)]
+        assert lost[0] <= (1 - s**4) ** 32 < lost[1]
+    assert near_dedup.least_agreement(80) == 76
+
+
 def test_no_rows(empty):
     assert exact_duplicates(empty).count() == near_duplicates(empty).count() == drop_exact_duplicates(empty).count() == drop_near_duplicates(empty).count() == 0
 
