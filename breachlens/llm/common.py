@@ -3,7 +3,7 @@
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts, as a Java and a Python pattern; every other character belongs to a word.
@@ -126,13 +126,16 @@ def held_out(doc_id) -> Column:
 def bounded_sample(rows: DataFrame, label: str, identity: str, per_label: int, most: int) -> DataFrame:
     """About ``per_label`` rows of each label, ``most`` in all: those whose hashed identity is smallest.
 
-    One count per label sets a threshold on the hash, so no label is gathered in one task; the last limit keeps the sample
-    bounded whatever the labels are. Same rows at every run.
+    One count per label sets a threshold on the hash, so no label is gathered in one task. Where the labels' rows are more than
+    ``most`` together, the first row of every label goes before any second one and so on: labels with few rows keep them all, the
+    others share what is left evenly. Only of more than ``most`` labels some have none. Same rows at every run.
     """
     place = (F.pmod(F.xxhash64(F.col(identity).cast("string"), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)).alias("_place")
     shares = rows.groupBy(label).agg((F.lit(float(per_label)) / F.count("*")).alias("_share"))
     picked = rows.select("*", place).join(shares, rows[label].eqNullSafe(shares[label]), "left_outer").drop(shares[label])
-    return picked.filter("_place < _share").orderBy("_place", identity).limit(most).drop("_place", "_share")
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_place", identity))
+    ranked = picked.filter("_place < _share").withColumn("_rank", rank)
+    return ranked.orderBy("_rank", "_place", identity).limit(most).drop("_place", "_share", "_rank")
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, spread: str, lanes: int = 64) -> DataFrame:

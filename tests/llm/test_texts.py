@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from breachlens.llm import language, quality_model, quality_rules
+from breachlens.llm.common import bounded_sample
 from breachlens.llm.pieces import Pieces, encoded
 from breachlens.llm.token_counts import Vocabulary, token_counts
 
@@ -139,6 +140,18 @@ def test_language_on_messy_rows(messy):
         assert (lang == "und") == (not lettered) and sure == lettered
 
 
+def test_sample_keeps_rare_labels(spark):
+    """Ten labels, nine of 4,000 to 12,000 rows and one of 60, of which 8,000 rows are taken; what fits whole is the sample as it was."""
+    sizes = {f"l{n}": 4_000 + 1_000 * n for n in range(9)} | {"rare": 60}
+    rows = spark.createDataFrame([(f"{label}-{i}", label) for label, size in sizes.items() for i in range(size)], "_id string, lang string")
+    found = [tuple(r) for r in bounded_sample(rows, "lang", "_id", 1500, 8000).collect()]
+    taken = {label: sum(x == label for _, x in found) for label in sizes}
+    assert len(set(found)) == 8000 and taken["rare"] == 60
+    assert all(abs(taken[label] - 7940 / 9) < 1 for label in sizes if label != "rare")
+    four = bounded_sample(rows.filter("lang in ('l1', 'l2', 'l3', 'rare')"), "lang", "_id", 1500, 8000)
+    assert four.filter("lang = 'rare'").count() == 60 and 4_200 < four.count() < 4_900
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 9, 40])
 def test_codewords_differ(n):
     code = language.codewords(n)
