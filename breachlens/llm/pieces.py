@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 
 #: Ids of this many distinct chunks are kept per Python worker.
 KEPT = 800_000
-#: Of the rows of an Arrow batch, one in so many is compared with the library.
-CHECK_EVERY = 4
+#: Of the rows of an Arrow batch, one in so many is compared with the library: each.
+CHECK_EVERY = 1
 #: The visible space of the vocabularies.
 SPACE = "▁"
 
@@ -191,10 +191,14 @@ def _long_ids(chunk, symbols, pieces):
     return ids + (chunk_ids(chunk[begin:], pieces) if begin < len(chunk) else [])
 
 
-def _checked(pieces, texts, ids, back, every):
+def _checked(pieces, names, texts, ids, back, every):
+    """What ``agrees`` says of each row; rows the library encodes or decodes otherwise are an error that gives their ``names``."""
     found = [None] * len(texts)
     if every:
         found[::every] = pieces.agrees(texts[::every], ids[::every], back[::every])
+    if False in found:
+        wrong = [name for name, same in zip(names, found, strict=True) if same is False]
+        raise ValueError(f"{len(wrong)} of {len(texts)} rows differ from the sentencepiece library, the first ids: {wrong[:5]}")
     return found
 
 
@@ -208,7 +212,8 @@ def encoded(documents: DataFrame, model: str, *, id_col: str = "doc_id", text_co
 
     Whole texts are encoded with the model file at that path, with begin and end ids, and decoded again. ``ids_sha256`` is over the ids
     as little-endian unsigned 32-bit integers, ``decoded_sha256`` over the text in UTF-8. In each
-    batch the first of every ``check_every`` rows is compared with the library (0: none); ``agrees`` is null for the others. A null text counts as empty: begin and end only. Ids of rows are
+    batch the first of every ``check_every`` rows is compared with the library (0: none); ``agrees`` is null for the others. A row that differs
+    is an error, so none goes out. A null text counts as empty: begin and end only. Ids of rows are
     passed on, null or repeated; with ``keep``, columns of ``documents`` that have one of the new names are left out.
     An empty table gives no rows. The model, of fixed size, is read once and sent to the tasks.
     """
@@ -221,7 +226,7 @@ def encoded(documents: DataFrame, model: str, *, id_col: str = "doc_id", text_co
     else:
         rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         text_col = "text"
-    at = rows.columns.index(text_col)
+    at, name_at = rows.columns.index(text_col), rows.columns.index(id_col if keep else "doc_id")
     kept = [f for f in rows.schema.fields if keep or f.name == "doc_id"]
     kept_at = [rows.columns.index(f.name) for f in kept]
     all_names = [*[f.name for f in kept], *names]
@@ -242,7 +247,7 @@ def encoded(documents: DataFrame, model: str, *, id_col: str = "doc_id", text_co
                         pa.array([x.decode() for x in back], pa.string()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
-                        pa.array(_checked(pieces, texts, ids, back, check_every), pa.bool_()),
+                        pa.array(_checked(pieces, batch.column(name_at).to_pylist(), texts, ids, back, check_every), pa.bool_()),
                     ],
                     names=all_names,
                 )

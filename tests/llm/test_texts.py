@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from breachlens.llm import language, quality_model, quality_rules
 from breachlens.llm.common import bounded_sample
-from breachlens.llm.pieces import Pieces, encoded
+from breachlens.llm.pieces import CHECK_EVERY, Pieces, _checked, encoded
 from breachlens.llm.token_counts import Vocabulary, token_counts
 
 DATA = "/root/testdata/sf0.01"
@@ -109,6 +109,17 @@ def test_pieces_on_messy_rows(messy):
     assert {r.agrees for r in encoded(messy, MODEL, check_every=0).collect()} == {None}
 
 
+def test_every_row_is_compared_with_the_library(spark):
+    texts = [f"text number {i}" for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r.agrees for r in encoded(rows, MODEL).collect()} == {True}
+    ids = [PIECES.encode(x) for x in texts]
+    back = [PIECES.decode(x) for x in ids]
+    ids[38] += ids[38][-4:]
+    with pytest.raises(ValueError, match=r"1 of 40 .*\[38\]"):
+        _checked(PIECES, range(40), texts, ids, back, CHECK_EVERY)
+
+
 def test_quality_model_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     scores = quality_model.quality_scores(spark.read.parquet(f"{DATA}/documents.parquet"), labels).join(labels, "doc_id").collect()
