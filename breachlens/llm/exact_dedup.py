@@ -1,4 +1,7 @@
-"""Exact duplicates by a tree merge of sorted digest runs."""
+"""Exact duplicates by a tree merge of digest runs, merged by hash aggregation.
+
+The runs are meant to be sorted, but what reads them does not depend on the order, so Spark's optimizer removes the sorts below.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ def lane_bits(spark) -> list[int]:
 
 
 def merge_runs(runs: DataFrame, bits: list[int]) -> DataFrame:
-    """(digest, text_sha256, n_bytes, keep_id, group_size) for the whole table, from one sorted run per lane.
+    """(digest, text_sha256, n_bytes, keep_id, group_size) for the whole table, from one run per lane.
 
     ``runs`` has a row per (lane, digest) with the smallest id and the number of texts. In a round every lane trades with the
     ``2 ** bits`` lanes whose numbers differ from its own in those bits only: each takes the part of the others' runs whose

@@ -4,10 +4,11 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
 import pytest
 
-from breachlens.llm import near_dedup
+from breachlens.llm import exact_dedup, near_dedup
 from breachlens.llm.components import connected_components
 from breachlens.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from breachlens.llm.near_dedup import drop_near_duplicates, near_duplicates
@@ -67,6 +68,14 @@ def test_exact_lanes_share_the_digests(spark):
     assert result.filter("group_size = 2").count() == 10_000
 
 
+def test_exact_merges_by_aggregation(spark):
+    """As the README says: three rounds and no sorted run is left in the plan."""
+    rows = spark.range(100).selectExpr("id as doc_id", "cast(id % 70 as string) as text")
+    plan = exact_duplicates(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3 and "Sort" not in plan
+    assert "hash aggregation" in exact_dedup.__doc__ and "not sorted" in (Path(__file__).parents[2] / "README.md").read_text()
+
+
 def test_near_on_messy_rows(messy):
     known = [(r.doc_id, r.text) for r in messy.filter("doc_id is not null").distinct().collect()]
     wanted, sets = brute_components(known, 5)
