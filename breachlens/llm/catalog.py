@@ -45,11 +45,11 @@ def op8_token_counts(spark, folder):
 
 
 def op9_sentencepiece(spark, folder):
-    return pieces.encoded(_table(spark, folder, "documents"), PIECE_MODEL).drop("ids", "decoded", "agrees")
+    return pieces.encoded(_table(spark, folder, "documents"), PIECE_MODEL, columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op10_language(spark, folder):
-    return language.languages(_table(spark, folder, "documents")).drop("ambiguous")
+    return language.languages(_table(spark, folder, "documents"))
 
 
 QUERIES = {

@@ -1,5 +1,6 @@
 """What several operators here share: word and shingle hashes in numpy, hash order, sampling, skew-safe attachment."""
 
+import ctypes
 import re
 
 import numpy as np
@@ -111,6 +112,56 @@ def text_groups(texts: list[bytes], most: int = 4 * WINDOW):
         yield first, len(texts)
 
 
+def byte_slices(batches, at: int, most: int = 4 * WINDOW):
+    """The batches cut to at most ``most`` bytes of the text column ``at`` (or one longer text), so that what a task holds of them is bounded.
+
+    When a task has seen all of them it gives the memory it no longer uses back to the machine, since its process is kept for later stages.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first, before = 0, 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(first, last - first)
+            first, before = last, int(ends[last - 1])
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+class Kept(dict):
+    """What ``make`` gives for a key, kept in two generations of about ``most`` bytes each; a key that is asked for again stays."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.size, self.older = make, most, 0, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        return self._keep(key, value)
+
+    def unknown(self, keys) -> list:
+        """Those of ``keys`` for which nothing is kept."""
+        return [key for key in keys if key not in self and key not in self.older]
+
+    def put(self, found):
+        for key, value in found:
+            self._keep(key, value)
+
+    def _keep(self, key, value):
+        self.size += len(key) + 220  # the two objects and their place in the table
+        if self.size > self.most:
+            self.older, self.size = dict(self), 0
+            self.clear()
+        self[key] = value
+        return value
+
+
 def as_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null as empty."""
     import pyarrow as pa

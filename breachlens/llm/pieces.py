@@ -4,6 +4,8 @@ import functools
 import hashlib
 import heapq
 import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Ids of this many distinct chunks are kept per Python worker.
-KEPT = 800_000
+from .common import Kept, byte_slices
+
+#: Bytes of chunks and their ids kept per Python worker and generation.
+KEPT = 48 << 20
+#: Chunks up to this length that are not known yet are encoded many at once.
+SHORT = 24
+_BITS = 20
 #: Of the rows of an Arrow batch, one in so many is compared with the library: each.
 CHECK_EVERY = 1
 #: The visible space of the vocabularies.
@@ -45,9 +52,14 @@ class Pieces:
                     self.made[left << 32 | right] = (order[self.library.get_score(i)], i)
         self.byte_ids = {self.library.piece_to_id(f"<0x{b:02X}>"): b for b in range(256)}
         self.of_byte = {b: i for i, b in self.byte_ids.items()}
-        self.written = [self._written(i) for i in known]
+        written = [self._written(i) for i in known]
+        self.letters_of = np.frombuffer(b"".join(written), np.uint8)
+        self.width_of = np.array([len(x) for x in written], np.int64)
+        self.begin_of = np.cumsum(self.width_of) - self.width_of
         self.chunks = _cutter(ids)
-        self.ids = _Ids(self)
+        self.ids = Kept(lambda chunk: _packed(chunk_ids(chunk.replace(" ", SPACE), self)), KEPT)
+        self.agendas = _Agendas(self)
+        self.begin, self.end = _packed([self.library.bos_id()]), _packed([self.library.eos_id()])
 
     def _written(self, i):
         if i in self.byte_ids:
@@ -60,15 +72,27 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         """The ids, with begin and end, as little-endian unsigned 32-bit integers."""
-        if len(self.ids) > KEPT:
-            self.ids.clear()
-        inner = b"".join(map(self.ids.__getitem__, self.chunks(text))) if text else b""
-        return _packed([self.library.bos_id()]) + inner + _packed([self.library.eos_id()])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` for each text; chunks that are not known yet are encoded together."""
+        cut = [self.chunks(text) if text else [] for text in texts]
+        self.ids.put(self.agendas.ids(self.ids.unknown(set().union(*cut))))
+        known = self.ids.__getitem__
+        return [self.begin + b"".join(map(known, chunks)) + self.end for chunks in cut]
 
     def decode(self, packed: bytes) -> bytes:
         """The text of ids, in UTF-8: the space put in front goes, byte pieces are put together."""
-        text = b"".join(map(self.written.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-        return text[1:] if text[:1] == b" " else text
+        return self.decode_all([packed])[0]
+
+    def decode_all(self, packed: list[bytes]) -> list[bytes]:
+        """``decode`` for each row of ids."""
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        widths = self.width_of[ids]
+        ends = np.concatenate([[0], np.cumsum(widths)])
+        text = self.letters_of[np.repeat(self.begin_of[ids] - ends[:-1], widths) + np.arange(ends[-1])].tobytes()
+        cuts = ends[np.cumsum([0, *[len(x) // 4 for x in packed]])].tolist()
+        return [text[a + 1 : b] if text[a:b][:1] == b" " else text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def agrees(self, texts: list[str], encoded: list[bytes], decoded: list[bytes]) -> list[bool]:
         """Does the library give the same ids and texts?"""
@@ -112,16 +136,10 @@ def _cutter(known):
 
 
 def _packed(ids) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
-
-
-class _Ids(dict):
-    def __init__(self, pieces):
-        self.pieces = pieces
-
-    def __missing__(self, chunk):
-        packed = self[chunk] = _packed(chunk_ids(chunk.replace(" ", SPACE), self.pieces))
-        return packed
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
 
 
 def chunk_ids(chunk: str, pieces: Pieces) -> list[int]:
@@ -179,6 +197,73 @@ def chunk_ids(chunk: str, pieces: Pieces) -> list[int]:
     return ids
 
 
+class _Agendas:
+    """``chunk_ids`` for many short chunks at once: a row per chunk, its agenda the orders of its adjacent pairs.
+
+    In each step every row merges its pair of best score, the leftmost of equals; rows without a pair are done. A chunk with a letter
+    that is no piece, or in no piece, is left to ``chunk_ids``.
+    """
+
+    def __init__(self, pieces: "Pieces"):
+        self.pieces = pieces
+        keys = np.array(sorted(pieces.made), np.int64)
+        made = [pieces.made[key] for key in keys.tolist()]
+        self.none = 1 << 40
+        self.keys, self.values = keys, np.array([order << _BITS | symbol for order, symbol in made], np.int64)
+        letters = {ord(x): i for x, i in pieces.symbol.items() if len(x) == 1 and i < pieces.first_letter}
+        self.letters = np.array(sorted(letters), np.int64)
+        self.symbols = np.array([letters[x] for x in sorted(letters)], np.int64)
+
+    def _pairs(self, left, right):
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], self.none)
+
+    def ids(self, chunks: list[str]):
+        """(chunk, packed ids) of the chunks this can do."""
+        if not len(self.keys):
+            return
+        for least, most in ((2, 6), (7, 11), (12, SHORT)):
+            some = [x for x in chunks if least <= len(x) <= most]
+            for first in range(0, len(some), 4096):
+                yield from self._some(some[first : first + 4096], most)
+
+    def _some(self, chunks, width):
+        sizes = np.array([len(x) for x in chunks])
+        points = np.frombuffer("".join(chunks).replace(" ", SPACE).encode("utf-32-le"), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
+        found = np.where(self.letters[at] == points, self.symbols[at], -1)
+        symbols = np.full((len(chunks), width + 1), -1)
+        inside = np.arange(width + 1) < sizes[:, None]
+        symbols[inside] = found
+        fit = ~((symbols < 0) & inside).any(axis=1)
+        rows, symbols = np.flatnonzero(fit), symbols[fit]
+        agenda = np.full((len(rows), width + 1), self.none)
+        agenda[:, :-1] = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        places = np.arange(width + 1)
+        while len(rows):
+            best = (agenda >> _BITS).argmin(axis=1)
+            every = np.arange(len(rows))
+            merged = agenda[every, best]
+            done = merged == self.none
+            if done.any():
+                lines = symbols[done]
+                used = lines >= 0
+                packed, begin = lines[used].astype("<u4").tobytes(), 0
+                for row, end in zip(rows[done].tolist(), (4 * used.sum(axis=1).cumsum()).tolist(), strict=True):
+                    yield chunks[row], packed[begin:end]
+                    begin = end
+                rows, symbols, agenda, best, merged = (x[~done] for x in (rows, symbols, agenda, best, merged))
+                every = np.arange(len(rows))
+            # The symbol behind the pair's first goes, and all behind it move up.
+            move = np.minimum(places + (places > best[:, None]), width)
+            symbols, agenda = np.take_along_axis(symbols, move, 1), np.take_along_axis(agenda, move, 1)
+            symbols[every, best] = merged = merged & ((1 << _BITS) - 1)
+            agenda[every, best] = self._pairs(merged, symbols[every, np.minimum(best + 1, width)])
+            before = np.maximum(best - 1, 0)
+            agenda[every, before] = np.where(best > 0, self._pairs(symbols[every, before], merged), agenda[every, before])
+
+
 def _long_ids(chunk, symbols, pieces):
     """``chunk_ids`` for a chunk cut at every letter that is in no piece."""
     ids, begin = [], 0
@@ -202,14 +287,30 @@ def _checked(pieces, names, texts, ids, back, every):
     return found
 
 
+def _lists(packed: list[bytes]) -> pa.Array:
+    """Packed ids as an Arrow column of lists, without a Python number for each."""
+    offsets = array("i", [0])
+    for ids in packed:
+        offsets.append(offsets[-1] + len(ids) // 4)
+    values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
 @functools.lru_cache(maxsize=2)
 def _pieces(model: bytes) -> Pieces:
     return Pieces(model)
 
 
-def encoded(documents: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", check_every: int = CHECK_EVERY, keep: bool = False) -> DataFrame:
+_NEW = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string", "agrees": "boolean"}
+
+
+def encoded(
+    documents: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", check_every: int = CHECK_EVERY, keep: bool = False, columns=tuple(_NEW)
+) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded, ids_sha256, decoded_sha256, agrees) per row; with ``keep`` behind all columns of ``documents``.
 
+    Of the new columns those named in ``columns`` are made.
+
     Whole texts are encoded with the model file at that path, with begin and end ids, and decoded again. ``ids_sha256`` is over the ids
     as little-endian unsigned 32-bit integers, ``decoded_sha256`` over the text in UTF-8. In each
     batch the first of every ``check_every`` rows is compared with the library (0: none); ``agrees`` is null for the others. A row that differs
@@ -219,8 +320,8 @@ def encoded(documents: DataFrame, model: str, *, id_col: str = "doc_id", text_co
     """
     with open(model, "rb") as handle:
         file = documents.sparkSession.sparkContext.broadcast(handle.read())
-    new = "n_tokens long, ids array<int>, decoded string, ids_sha256 string, decoded_sha256 string, agrees boolean"
-    names = ["n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256", "agrees"]
+    names = list(columns)
+    new = ", ".join(f"{name} {_NEW[name]}" for name in names)
     if keep:
         rows = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c not in names])
     else:
@@ -233,23 +334,19 @@ def encoded(documents: DataFrame, model: str, *, id_col: str = "doc_id", text_co
 
     def encode(batches):
         pieces = _pieces(file.value)
-        for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
-                texts = [x or "" for x in batch.column(at).to_pylist()]
-                ids = [pieces.encode(x) for x in texts]
-                back = [pieces.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[batch.column(i) for i in kept_at],
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())),
-                        pa.array([x.decode() for x in back], pa.string()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
-                        pa.array(_checked(pieces, batch.column(name_at).to_pylist(), texts, ids, back, check_every), pa.bool_()),
-                    ],
-                    names=all_names,
-                )
+        for batch in byte_slices(batches, at, 1 << 20):
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            ids = pieces.encode_all(texts)
+            back = pieces.decode_all(ids)
+            agrees = _checked(pieces, batch.column(name_at).to_pylist(), texts, ids, back, check_every)
+            make = {
+                "n_tokens": lambda ids=ids: pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "ids": lambda ids=ids: _lists(ids),
+                "decoded": lambda back=back: pa.array(back, pa.binary()).cast(pa.string()),
+                "ids_sha256": lambda ids=ids: pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                "decoded_sha256": lambda back=back: pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
+                "agrees": lambda agrees=agrees: pa.array(agrees, pa.bool_()),
+            }
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept_at], *[make[name]() for name in names]], names=all_names)
 
     return rows.mapInArrow(encode, StructType([*kept, *StructType.fromDDL(new).fields]))
