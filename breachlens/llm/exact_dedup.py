@@ -1,7 +1,4 @@
-"""Exact duplicates by a tree merge of digest runs, merged by hash aggregation.
-
-The runs are meant to be sorted, but what reads them does not depend on the order, so Spark's optimizer removes the sorts below.
-"""
+"""Exact duplicates by a tree merge of sorted digest runs."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +21,26 @@ def lane_bits(spark) -> list[int]:
     return [bits * (r + 1) // ROUNDS - bits * r // ROUNDS for r in range(ROUNDS)]
 
 
+#: The order of a run, and what must be equal in all parts for two texts to count as one.
+ENTRY = ["digest", "text_sha256", "n_bytes"]
+
+
+def _merged(entries: DataFrame) -> DataFrame:
+    """One sorted run per lane from the entries that have come together in it.
+
+    The smallest id is held in a struct, which Spark can only aggregate over sorted input: each task sorts its entries by
+    (lane, digest, SHA-256, length), reads them in that order, compares each with the one before and closes an entry where they differ.
+    """
+    least = F.min(F.when(F.col("keep_id").isNotNull(), F.struct("keep_id")))["keep_id"]
+    return entries.groupBy("lane", *ENTRY).agg(least.alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+
 def merge_runs(runs: DataFrame, bits: list[int]) -> DataFrame:
     """(digest, text_sha256, n_bytes, keep_id, group_size) for the whole table, from one run per lane.
 
     ``runs`` has a row per (lane, digest) with the smallest id and the number of texts. In a round every lane trades with the
     ``2 ** bits`` lanes whose numbers differ from its own in those bits only: each takes the part of the others' runs whose
-    digests have its own bits there, and merges what arrives with its own, all at once. After the last round a lane holds
+    digests have its own bits there, and merges what arrives with its own in one pass over sorted entries. After the last round a lane holds
     one run for its share of the digests, so no task ever sees more than its share, and a text that is copied
     a million times is one row of each run. The order key is a 64-bit digest; entries are only taken as
     equal when SHA-256 and length agree as well, in each merge.
@@ -39,13 +50,8 @@ def merge_runs(runs: DataFrame, bits: list[int]) -> DataFrame:
         mask = ((1 << width) - 1) << settled
         theirs = F.col("digest").bitwiseAND(F.lit(mask))
         others = F.col("lane").bitwiseAND(F.lit(~mask & ((1 << sum(bits)) - 1)))
-        runs = (
-            runs.withColumn("lane", others.bitwiseOR(theirs).cast("int"))
-            .repartitionById(1 << sum(bits), F.col("lane"))
-            .groupBy("lane", "digest", "text_sha256", "n_bytes")
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-            .sortWithinPartitions("lane", "digest", "text_sha256")
-        )
+        traded = runs.withColumn("lane", others.bitwiseOR(theirs).cast("int")).repartitionById(1 << sum(bits), F.col("lane"))
+        runs = _merged(traded)
         settled += width
     return runs.drop("lane")
 
@@ -69,14 +75,9 @@ def exact_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col:
         ),
         "digests",
     )
-    equal = ["digest", "text_sha256", "n_bytes"]
-    runs = (
-        digests.groupBy("lane", *equal)
-        .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .sortWithinPartitions("lane", "digest", "text_sha256")
-    )
-    merged = merge_runs(runs, bits).select(F.struct(*equal).alias("_key"), "keep_id", "group_size")
-    rows = digests.select("doc_id", F.struct(*equal).alias("_key"))
+    runs = _merged(digests.select("lane", *ENTRY, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
+    merged = merge_runs(runs, bits).select(F.struct(*ENTRY).alias("_key"), "keep_id", "group_size")
+    rows = digests.select("doc_id", F.struct(*ENTRY).alias("_key"))
     return attach(rows, merged, "_key", spread="doc_id").select(
         "doc_id",
         "keep_id",
@@ -92,6 +93,7 @@ def drop_exact_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_
     kept = exact_duplicates(documents, id_col=id_col, text_col=text_col).filter("kept")
     kept = kept.select(F.struct("doc_id", "text_sha256").alias("_kept")).distinct()
     # One key for the join and for dropping repeats, so the texts are shuffled once. Structs are equal where both ids are null.
-    key = F.struct(F.col(id_col).alias("doc_id"), F.sha2(normalized(text_col), 256).alias("text_sha256"))
-    marked = documents.withColumn("_kept", key)
-    return marked.join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*documents.columns)
+    row = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    text = F.regexp_replace(F.coalesce(F.col("_row")[text_col], F.lit("")), GAP, " ")
+    marked = row.select("_row", F.struct(F.col("_row")[id_col].alias("doc_id"), F.sha2(text, 256).alias("text_sha256")).alias("_kept"))
+    return marked.join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select("_row.*")

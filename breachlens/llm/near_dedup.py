@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ids import with_dense_ids
 from ..session import staged
-from .common import as_bytes, attach, text_groups, window_hashes, word_hashes
+from .common import as_bytes, attach, byte_slices, text_groups, window_hashes, word_hashes
 from .components import connected_components
 
 #: 32 bands of 4 minima: a pair at a similarity of 0.8 shares no band once in 20 million pairs.
@@ -42,23 +43,27 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> _U64(32)).astype(np.uint32).view(np.int32)
 
 
-_SIGNED = "doc_id long, n_shingles long, digest binary, signature array<int>"
+_SIGNED = "doc_id long, mark long, n_shingles long, digest binary, signature array<int>"
+
+
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
 def _sign(width):
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.list_(pa.int32()))]
+        [("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.list_(pa.int32()))]
     )
 
     def sign(batches):
-        for batch in batches:
+        for batch in byte_slices(batches, 1):
             sizes, digests, signatures = [], [], []
             for found in shingle_sets(as_bytes(batch.column(1)), width):
                 sizes.append(len(found))
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                digests.append(_digest(found))
                 signatures.append(signature(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))],
                 schema=schema,
             )
 
@@ -69,11 +74,13 @@ def _sets(width):
     schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def sets(batches):
-        for batch in batches:
-            found = [x.view(np.int64) for x in shingle_sets(as_bytes(batch.column(1)), width)]
-            for at in range(0, len(found), 256):  # small batches: a set may be as large as its text
-                part = found[at : at + 256]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(part, pa.list_(pa.int64()))], schema=schema)
+        for batch in byte_slices(batches, 1, 1 << 20):  # a set may be as large as its text
+            found = list(shingle_sets(as_bytes(batch.column(1)), width))
+            # The id may stand on other texts as well; only the one with the wanted set is the representative's.
+            own = [i for i, (x, wanted) in enumerate(zip(found, batch.column(2).to_pylist(), strict=True)) if _digest(x) == wanted]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(own, pa.int64())), pa.array([found[i].view(np.int64) for i in own], pa.list_(pa.int64()))], schema=schema
+            )
 
     return sets
 
@@ -105,41 +112,51 @@ def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80,
 
     Estimates from signatures sort out pairs first, each remaining pair is confirmed on full sets.
     Null and empty texts have an empty set and are linked with nothing. A null id is a document of its own with a null
-    component and ``kept`` true; rows repeating an id and text give as many rows. An empty table gives no rows.
+    component and ``kept`` true; rows repeating an id and text give as many rows. Where an id stands on several texts each of them
+    is a document of its own, with its own links. An empty table gives no rows.
     """
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _verdicts(documents, width, percent, id_col, text_col).drop("mark")
+
+
+def _verdicts(documents, width, percent, id_col, text_col):
+    """``near_duplicates`` with ``mark``, a hash of the row's text."""
+    text = F.col(text_col)
+    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _mark(text).alias("mark"))
     signed = staged(texts.mapInArrow(_sign(width), _SIGNED), "near-signed")
     known = signed.filter("doc_id is not null and digest is not null")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    smallest = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    # Classes are numbered in the order of their smallest ids: an id that stands on several texts may be the smallest of several classes.
+    classes = staged(with_dense_ids(smallest, ["doc_id", "digest"], 0, "rep"), "near-classes")
     reps = staged(
-        known.join(classes.withColumnRenamed("digest", "_d"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_d")))
-        .select("rep", "n_shingles", "signature")
-        .dropDuplicates(["rep"]),
-        "near-reps",
+        known.join(classes, ["doc_id", "digest"]).select("rep", "doc_id", "digest", "n_shingles", "signature").dropDuplicates(["rep"]), "near-reps"
     )
     links = _links(texts, reps, width, percent)
     component = connected_components(links)
-    labelled = classes.join(component, F.col("rep") == F.col("node"), "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id")
-    )
-    slim = signed.select("doc_id", "n_shingles", "digest")
+    named = component.join(classes.select(F.col("rep").alias("component"), F.col("doc_id").alias("component_id")), "component")
+    labelled = classes.join(named, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+    slim = signed.select("doc_id", "mark", "n_shingles", "digest")
     grouped = attach(slim.filter("doc_id is not null and digest is not null"), labelled, "digest", spread="doc_id")
     alone = slim.filter("doc_id is null or digest is null").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "n_shingles", "component_id"]
+    columns = ["doc_id", "mark", "n_shingles", "component_id"]
     return grouped.select(columns).unionByName(alone.select(columns)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _mark(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _links(texts, reps, width, percent):
     """Confirmed links (a, b) that connect the representatives as all confirmed links would."""
+    whose = reps.select("rep", "doc_id", "digest")
+    reps = reps.drop("doc_id", "digest")
     keys = F.array(*[F.xxhash64(*[F.col("signature")[band * ROWS + row] for row in range(ROWS)]) for band in range(BANDS)])
     members = reps.select("rep", F.posexplode(keys).alias("band", "key"))
     hub = F.min(F.struct(F.xxhash64("rep", "band").alias("order"), "rep"))
     buckets = members.groupBy("band", "key").agg(F.count("*").alias("size"), hub["rep"].alias("hub")).filter("size > 1")
     shared = staged(members.join(buckets, ["band", "key"]), "near-shared")
-    needed = shared.select("rep").distinct()
+    needed = whose.join(shared.select("rep").distinct(), "rep", "left_semi")
     sets = staged(
-        texts.filter("doc_id is not null").join(needed, F.col("doc_id") == F.col("rep"), "left_semi")
-        .dropDuplicates(["doc_id"])
+        texts.join(needed, "doc_id").dropDuplicates(["doc_id", "rep", "mark"]).select("rep", "text", "digest")
         .mapInArrow(_sets(width), "rep long, shingles array<long>"),
         "near-sets",
     )
@@ -241,6 +258,11 @@ def _common_counts(values, sizes, width=4096):
 
 
 def drop_near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which one stays per component, with all their columns. A null id stays; a row repeating an id stays once per row."""
-    dropped = near_duplicates(documents, width=width, percent=percent, id_col=id_col, text_col=text_col).filter("not kept")
-    return documents.join(dropped.select(F.col("doc_id").alias("_dropped")).distinct(), F.col(id_col) == F.col("_dropped"), "left_anti")
+    """The documents of which one stays per component, with all their columns. A null id stays; a row repeating an id stays once per row.
+
+    Of an id that stands on several texts, only rows with a text that goes are dropped.
+    """
+    dropped = _verdicts(documents, width, percent, id_col, text_col).filter("not kept").select("doc_id", "mark").distinct()
+    row = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    keyed = row.select("_row", F.col("_row")[id_col].cast("long").alias("doc_id"), _mark(F.col("_row")[text_col]).alias("mark"))
+    return keyed.join(dropped, ["doc_id", "mark"], "left_anti").select("_row.*")

@@ -4,7 +4,6 @@ import hashlib
 import math
 import random
 import re
-from pathlib import Path
 
 import pytest
 
@@ -68,14 +67,6 @@ def test_exact_lanes_share_the_digests(spark):
     assert result.filter("group_size = 2").count() == 10_000
 
 
-def test_exact_merges_by_aggregation(spark):
-    """As the README says: three rounds and no sorted run is left in the plan."""
-    rows = spark.range(100).selectExpr("id as doc_id", "cast(id % 70 as string) as text")
-    plan = exact_duplicates(rows)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("RepartitionByExpression") == 3 and "Sort" not in plan
-    assert "hash aggregation" in exact_dedup.__doc__ and "not sorted" in (Path(__file__).parents[2] / "README.md").read_text()
-
-
 def test_near_on_messy_rows(messy):
     known = [(r.doc_id, r.text) for r in messy.filter("doc_id is not null").distinct().collect()]
     wanted, sets = brute_components(known, 5)
@@ -157,3 +148,44 @@ def test_components(spark):
             name[high] = low
     frame = spark.createDataFrame(links + [(None, 5), (7, None)], "a long, b long")
     assert {r.node: r.component for r in connected_components(frame).collect()} == {x: root(x) for x in name}
+
+
+def two_texts_of_one_id():
+    """The id 1 stands on two texts that are nothing like each other; 2 is near the one and 3 near the other."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = [(1, a), (1, b), (2, a.rsplit(" ", 1)[0] + " end"), (3, b.rsplit(" ", 1)[0] + " end"), (4, "quite another text that stands for itself alone")]
+    return near
+
+
+@pytest.mark.parametrize("small", [32, 0])
+def test_an_id_on_two_texts_keeps_the_links_of_both(spark, monkeypatch, small):
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
+    rows = spark.createDataFrame(two_texts_of_one_id(), "doc_id long, text string")
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(rows).collect())
+    assert found == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_only_the_text_that_goes_is_dropped(spark):
+    a = two_texts_of_one_id()[0][1]
+    other = "a text of the second kind that has nothing in common with the first one at all"
+    rows = spark.createDataFrame([(1, a), (5, a + " end"), (5, other)], "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.drop_near_duplicates(rows).collect())) == [(1, a), (5, other)]
+
+
+@pytest.mark.parametrize("name", ["_kept", "_dropped", "_row", "doc_id2", "mark", "rep", "_key", "_lane"])
+def test_columns_of_the_caller_stay_as_they_are(spark, name):
+    a = two_texts_of_one_id()[0][1]
+    rows = spark.createDataFrame([(1, a, "x"), (2, a, "y"), (3, a + " end", "z"), (4, "another one", None)], f"doc_id long, text string, `{name}` string")
+    exact = exact_dedup.drop_exact_duplicates(rows)
+    assert exact.columns == rows.columns and sorted(r[name] or "" for r in exact.collect()) == ["", "x", "z"]
+    near = near_dedup.drop_near_duplicates(rows)
+    assert near.columns == rows.columns and sorted(r[name] or "" for r in near.collect()) == ["", "x"]
+
+
+def test_runs_are_sorted_and_merged_in_order(spark):
+    """Each merge reads entries in the order of the digest, and only those; no merge is a hash aggregate."""
+    bits = exact_dedup.lane_bits(spark)
+    runs = spark.createDataFrame([], "lane int, digest long, text_sha256 string, n_bytes long, keep_id long, group_size long")
+    text = exact_dedup.merge_runs(runs, bits)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in text and text.count("SortAggregate") >= len(bits)
+    assert len(re.findall(r"Sort \[lane#\d+ ASC NULLS FIRST, digest#\d+L ASC NULLS FIRST, text_sha256", text)) >= len(bits)
