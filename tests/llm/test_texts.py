@@ -169,3 +169,25 @@ def test_codewords_differ(n):
     assert len(code) == n == len({tuple(x) for x in code})
     if n > 5:
         assert min((code[a] != code[b]).sum() for a in range(n) for b in range(a)) >= code.shape[1] // 5
+
+
+def test_a_rejected_text_is_counted_no_further(messy):
+    """``keep_quality`` keeps what ``quality`` keeps, in any order of its rules; rules behind a rejection ask for nothing."""
+    asked = []
+    spy = quality_rules.Rule("spy", lambda text, c: asked.append(text) or False)
+    short, long = b"too few words", " ".join(f"word{i} stands here" for i in range(9)).encode()
+    assert not quality_rules.passes(short, [*quality_rules.BASE_RULES, spy]) and asked == []
+    assert quality_rules.passes(long, [*quality_rules.BASE_RULES, spy]) and asked == [long]
+    lazy = quality_rules.Lazy(long)
+    assert quality_rules.BASE_RULES[0].rejects(long, lazy) is False and "n_repeat_words" not in lazy.__dict__
+    n = len(quality_rules.BASE_RULES + quality_rules.RULES)
+    wanted = sorted(r.doc_id or -1 for r in quality_rules.quality(messy).filter("kept").collect())
+    for order in (list(range(n)), list(range(n))[::-1]):
+        assert sorted(r.doc_id or -1 for r in quality_rules.keep_quality(messy, order=order).collect()) == wanted
+
+
+def test_rules_are_timed_with_the_counts_they_need():
+    """Of two rules that reject nothing, the one that hashes every word comes after the one that looks for a mark."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(3000)).encode() for i in range(10)]
+    both = (quality_rules.BASE_RULES[1], quality_rules.RULES[-1])
+    assert quality_rules.rule_order(texts, both) == [1, 0]
