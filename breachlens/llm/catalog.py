@@ -1,9 +1,10 @@
 """The operators of this folder bound to the test tables, and the SQL that must agree where SQL can say it."""
 
 import public_tokenizers
-from . import exact_dedup, language, mixing, near_dedup, pieces, preference, quality_model, quality_rules, token_counts, warc
+from . import exact_dedup, language, mixing, near_dedup, packing, pieces, preference, quality_model, quality_rules, ranked, runs, token_counts, warc
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -52,15 +53,28 @@ def op10_language(spark, folder):
     return language.languages(_table(spark, folder, "documents"))
 
 
+def op11_periodic_runs(spark, folder):
+    return runs.digests(runs.periodic_runs(runs.extended(_table(spark, folder, "documents"))))
+
+
+def op12_best_fit_packing(spark, folder):
+    return packing.packed(_table(spark, folder, "documents"), WORD_VOCABULARY)
+
+
+def op13_ranked_search(spark, folder):
+    return ranked.rank(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_preference_format, op2_exact_dedup, op3_near_dedup, op4_mix_sources, op5_warc, op6_quality_rules, op7_quality_model,
-        op8_token_counts, op9_sentencepiece, op10_language,
+        op8_token_counts, op9_sentencepiece, op10_language, op11_periodic_runs, op12_best_fit_packing, op13_ranked_search,
     )
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + ranked.TERM + "')"
 
 ORACLES = {
     "op1_preference_format": """
@@ -166,5 +180,18 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   or 2 * (capital + small + others) < strlen(regexp_replace(text, '[ \n]', '', 'g'))
   or 2 * length(regexp_replace(text, '[^!]', '', 'g')) > n_words) kept
 from b
+""",
+    "op13_ranked_search": f"""
+with t as (select doc_id, term, count(*) tf from (select doc_id, unnest({_TERMS}) term from documents) group by all),
+d as (select doc_id, sum(tf)::bigint n from t group by doc_id),
+s as (select count(*)::bigint docs, sum(n)::bigint words from d),
+m as (select doc_id, 50 + (50 * n * docs) // words as m from d, s),
+w as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint w from t, s group by term, docs),
+q as (select distinct item_id, unnest({_TERMS}) term from benchmark),
+scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint score
+  from q join w using (term) join t using (term) join m using (doc_id) group by item_id, doc_id)
+select item_id, rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int rank from scored where score > 0) where rank <= 50
 """,
 }

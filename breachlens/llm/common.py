@@ -162,6 +162,60 @@ class Kept(dict):
         return value
 
 
+def ragged_rows(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A matrix with a row of ``values`` for each of ``sizes``, filled up with -1, one place wider than the longest."""
+    rows = np.full((len(sizes), int(sizes.max(initial=0)) + 1), -1)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = values
+    return rows
+
+
+class Merges:
+    """Merging of adjacent symbols in many short rows at once, from ``{left << 32 | right: (order, symbol)}``.
+
+    Every row has an agenda, the orders of its adjacent pairs. In each step every row merges its pair of least order, the leftmost of
+    equals; a row without a pair is done.
+    """
+
+    _BITS, _NONE = 20, 1 << 40
+
+    def __init__(self, made: dict):
+        self.keys = np.array([-1, *sorted(made)], np.int64)
+        self.values = np.array([self._NONE, *[made[key][0] << self._BITS | made[key][1] for key in self.keys[1:].tolist()]], np.int64)
+
+    def _pairs(self, left, right):
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], self._NONE)
+
+    def run(self, symbols: np.ndarray):
+        """(row, symbols left as little-endian unsigned 32-bit integers); rows as of ``ragged_rows``."""
+        rows, places = np.arange(len(symbols)), np.arange(symbols.shape[1])
+        agenda = np.full(symbols.shape, self._NONE)
+        agenda[:, :-1] = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            best = (agenda >> self._BITS).argmin(axis=1)
+            every = np.arange(len(rows))
+            merged = agenda[every, best]
+            done = merged == self._NONE
+            if done.any():
+                lines = symbols[done]
+                used = lines >= 0
+                packed, begin = lines[used].astype("<u4").tobytes(), 0
+                for row, end in zip(rows[done].tolist(), (4 * used.sum(axis=1).cumsum()).tolist(), strict=True):
+                    yield row, packed[begin:end]
+                    begin = end
+                rows, symbols, agenda, best, merged = (x[~done] for x in (rows, symbols, agenda, best, merged))
+                every = np.arange(len(rows))
+            # The symbol behind the pair's first goes, and all behind it move up.
+            move = np.minimum(places + (places > best[:, None]), places[-1])
+            symbols, agenda = np.take_along_axis(symbols, move, 1), np.take_along_axis(agenda, move, 1)
+            symbols[every, best] = merged = merged & ((1 << self._BITS) - 1)
+            agenda[every, best] = self._pairs(merged, symbols[every, np.minimum(best + 1, places[-1])])
+            before = np.maximum(best - 1, 0)
+            agenda[every, before] = np.where(best > 0, self._pairs(symbols[every, before], merged), agenda[every, before])
+
+
 def as_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null as empty."""
     import pyarrow as pa

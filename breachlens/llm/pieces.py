@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Kept, byte_slices
+from .common import Kept, Merges, byte_slices, ragged_rows
 
 #: Bytes of chunks and their ids kept per Python worker and generation.
 KEPT = 48 << 20
 #: Chunks up to this length that are not known yet are encoded many at once.
 SHORT = 24
-_BITS = 20
 #: Of the rows of an Arrow batch, one in so many is compared with the library: each.
 CHECK_EVERY = 1
 #: The visible space of the vocabularies.
@@ -198,70 +197,29 @@ def chunk_ids(chunk: str, pieces: Pieces) -> list[int]:
 
 
 class _Agendas:
-    """``chunk_ids`` for many short chunks at once: a row per chunk, its agenda the orders of its adjacent pairs.
-
-    In each step every row merges its pair of best score, the leftmost of equals; rows without a pair are done. A chunk with a letter
-    that is no piece, or in no piece, is left to ``chunk_ids``.
-    """
+    """``chunk_ids`` for many short chunks at once; a chunk with a letter that is no piece, or in no piece, is left to ``chunk_ids``."""
 
     def __init__(self, pieces: "Pieces"):
-        self.pieces = pieces
-        keys = np.array(sorted(pieces.made), np.int64)
-        made = [pieces.made[key] for key in keys.tolist()]
-        self.none = 1 << 40
-        self.keys, self.values = keys, np.array([order << _BITS | symbol for order, symbol in made], np.int64)
+        self.merges = Merges(pieces.made)
         letters = {ord(x): i for x, i in pieces.symbol.items() if len(x) == 1 and i < pieces.first_letter}
         self.letters = np.array(sorted(letters), np.int64)
         self.symbols = np.array([letters[x] for x in sorted(letters)], np.int64)
 
-    def _pairs(self, left, right):
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], self.none)
-
     def ids(self, chunks: list[str]):
         """(chunk, packed ids) of the chunks this can do."""
-        if not len(self.keys):
-            return
         for least, most in ((2, 6), (7, 11), (12, SHORT)):
             some = [x for x in chunks if least <= len(x) <= most]
             for first in range(0, len(some), 4096):
-                yield from self._some(some[first : first + 4096], most)
+                yield from self._some(some[first : first + 4096])
 
-    def _some(self, chunks, width):
+    def _some(self, chunks):
         sizes = np.array([len(x) for x in chunks])
         points = np.frombuffer("".join(chunks).replace(" ", SPACE).encode("utf-32-le"), "<u4").astype(np.int64)
         at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
-        found = np.where(self.letters[at] == points, self.symbols[at], -1)
-        symbols = np.full((len(chunks), width + 1), -1)
-        inside = np.arange(width + 1) < sizes[:, None]
-        symbols[inside] = found
-        fit = ~((symbols < 0) & inside).any(axis=1)
-        rows, symbols = np.flatnonzero(fit), symbols[fit]
-        agenda = np.full((len(rows), width + 1), self.none)
-        agenda[:, :-1] = self._pairs(symbols[:, :-1], symbols[:, 1:])
-        places = np.arange(width + 1)
-        while len(rows):
-            best = (agenda >> _BITS).argmin(axis=1)
-            every = np.arange(len(rows))
-            merged = agenda[every, best]
-            done = merged == self.none
-            if done.any():
-                lines = symbols[done]
-                used = lines >= 0
-                packed, begin = lines[used].astype("<u4").tobytes(), 0
-                for row, end in zip(rows[done].tolist(), (4 * used.sum(axis=1).cumsum()).tolist(), strict=True):
-                    yield chunks[row], packed[begin:end]
-                    begin = end
-                rows, symbols, agenda, best, merged = (x[~done] for x in (rows, symbols, agenda, best, merged))
-                every = np.arange(len(rows))
-            # The symbol behind the pair's first goes, and all behind it move up.
-            move = np.minimum(places + (places > best[:, None]), width)
-            symbols, agenda = np.take_along_axis(symbols, move, 1), np.take_along_axis(agenda, move, 1)
-            symbols[every, best] = merged = merged & ((1 << _BITS) - 1)
-            agenda[every, best] = self._pairs(merged, symbols[every, np.minimum(best + 1, width)])
-            before = np.maximum(best - 1, 0)
-            agenda[every, before] = np.where(best > 0, self._pairs(symbols[every, before], merged), agenda[every, before])
+        symbols = ragged_rows(np.where(self.letters[at] == points, self.symbols[at], -1), sizes)
+        fit = np.flatnonzero((symbols >= 0).sum(axis=1) == sizes)
+        for row, ids in self.merges.run(symbols[fit]):
+            yield chunks[fit[row]], ids
 
 
 def _long_ids(chunk, symbols, pieces):
