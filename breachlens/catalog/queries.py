@@ -8,7 +8,7 @@ from ..functions.values import CREDENTIAL_TYPES, GENERIC_NA, SPYCLOUD_NA
 from ..operators import changes, dedupe, enrich, lookups, normalize, stats
 from ..operators.joins import keep_matching
 from ..plans import imports
-from ..plans.store import Store
+from ..plans.store import ConflictingWrite, Store
 from ..schemas import LEAK, LEAK_CSV_COLUMNS, LEAK_DATA, LEAK_UPDATABLE, SPYCLOUD_COLUMNS
 from ..session import scratch_path
 from ..sources import files
@@ -105,6 +105,27 @@ def scan_na_tokens(t):
     return rows.select(*_CELLS)
 
 
+@query(
+    oracle(
+        "select "
+        + ", ".join(
+            f"case when {c} not in ({quoted(SPYCLOUD_NA)}){' and event_id % 3 <> 2' if c == 'target_url' else ''} then {c} end as {c}" for c in _CELLS
+        )
+        + " from raw",
+        also=f"raw as (select event_id, {derived.select_list(derived.FEED)} from events where ts >= timestamp '{derived.CUTOFF}')",
+    )
+)
+def scan_mixed_headers(t):
+    """Files of one folder with all columns, with some of them backwards, and with a column nobody knows."""
+    folder = scratch_path(t.spark, "mixed-csv")
+    some = [c for c in SPYCLOUD_COLUMNS if c != "target_url"]
+    fed = t.feed.withColumn("unheard_of", F.lit("x"))
+    for place, columns in enumerate((SPYCLOUD_COLUMNS, SPYCLOUD_COLUMNS[::-1][:-1], ["unheard_of", *some])):
+        part = fed.filter(F.col("src_ord") % 3 == place).select(*columns).coalesce(2)
+        part.write.mode("append").option("header", True).option("nullValue", "").csv(folder)
+    return files.scan_spycloud(t.spark, folder).select(*_CELLS)
+
+
 @query(
     oracle(
         "select cast(7 as bigint) as leak_id, email, password, password_plain, domain, ip, "
@@ -952,7 +973,7 @@ def import_touched_rows(t):
         _rows_of_one_leak(t), stored=store.rows(), leaks=t.leak, leak_id=1, first_id=store.next_id()
     )
     store.commit("one", inserts=done.inserts, raises=done.raises)
-    return imports.touched_rows(store.credentials(), done).select("id", "email", "count_seen", "is_new")
+    return imports.touched_rows(store, done).select("id", "email", "count_seen", "is_new")
 
 
 _HOOKED = _IMPORT.replace("ip_addresses as ip", "cast(null as varchar) as ip").replace(
@@ -1068,7 +1089,7 @@ def import_enrich_failures(t):
     )
 )
 def import_outputs(t):
-    """K7: an output that dies after the commit gets the same rows when the batch is run again."""
+    """K7: an output that dies after the commit gets the same rows when the batch is run again; so does one that comes in later."""
     store, got = Store(t.spark, scratch_path(t.spark, "store")), []
     options = {
         "ticket_id": "T-1", "summary": "outputs", "run_ts": run_ts(), "batch": "one",
@@ -1081,10 +1102,38 @@ def import_outputs(t):
     try:
         imports.import_scanned_feed(t.spark, store, t.feed, outputs=[dies], **options)
     except InterruptedError:
-        imports.import_scanned_feed(t.spark, store, t.feed, outputs=[got.append], **options)
+        imports.import_scanned_feed(t.spark, store, t.feed, outputs=[lambda df: None], **options)
+    imports.import_scanned_feed(t.spark, store, t.feed, outputs={"late": got.append}, **options)
     return got[0].select("email", "password")
 
 
+@query(
+    oracle(
+        "select false as success, 'the feed has rows that fail a check' as errormsg, cast(null as bigint) as count "
+        "from (select count(*) as bad from judged where error_msg is not null) where bad > 0",
+        "feed", also=f"{_CLEARED}, {_MAPPED}, {_JUDGED}",
+    )
+)
+def import_failed(t):
+    """K6: the envelope of an import that is not allowed to set rows aside."""
+    envelope, _ = imports.answered(t.spark, lambda: _import(t, strict=True))
+    return envelope.select("success", "errormsg", "count")
+
+
+@query(
+    oracle("select src_ord, error_msg, false as flagged from judged where error_msg is not null", "feed", also=f"{_CLEARED}, {_MAPPED}, {_JUDGED}")
+)
+def stored_rejected(t):
+    """Rows set aside are kept with the batch, and there for whoever runs it again."""
+    store = Store(t.spark, scratch_path(t.spark, "store"))
+    options = {
+        "ticket_id": "T-1", "summary": "aside", "run_ts": run_ts(), "batch": "one",
+        "reference": imports.Reference(vips=t.vips, directory=t.directory),
+    }
+    imports.import_scanned_feed(t.spark, store, t.feed, **options).close()
+    return imports.import_scanned_feed(t.spark, store, t.feed, **options).rejected.select("src_ord", "error_msg", "flagged")
+
+
 def _stored(t, table, raised=None):
     """A store of ``table``, with counters raised."""
     store = Store(t.spark, scratch_path(t.spark, "store"))
@@ -1096,12 +1145,24 @@ def _stored(t, table, raised=None):
 
 @query(oracle("select id, email, count_seen from store", "store"))
 def store_batches(t):
-    """Batches whose names look alike, or like the store's own, are all kept, also past a compaction."""
+    """Batches whose names look alike, or like the store's own, are all kept, also past a compaction, and past one that another writer gets ahead of."""
     store = Store(t.spark, scratch_path(t.spark, "store"))
+
+    class Late(Store):
+        def _write_all(self, log, label, tables):
+            written = super()._write_all(log, label, tables)
+            store.commit("base", inserts=t.store.filter(F.col("id") % 4 == 2).select(*LEAK_DATA.names))
+            return written
+
     for place, (name, kind) in enumerate((("x/1", "batch"), ("x:1", "batch"), ("base", "batch"), ("x:1", "stream"))):
-        store.commit(name, kind=kind, inserts=t.store.filter(F.col("id") % 4 == place).select(*LEAK_DATA.names))
+        if name == "base":  # committed by somebody else while the store is being compacted
+            try:
+                Late(t.spark, store.root).compact()
+            except ConflictingWrite:
+                store.compact()
+        else:
+            store.commit(name, kind=kind, inserts=t.store.filter(F.col("id") % 4 == place).select(*LEAK_DATA.names))
         if place == 2:
-            store.compact()
             store.commit("x/1", inserts=t.store.select(*LEAK_DATA.names))  # known, so not taken again
     return store.credentials().select("id", "email", "count_seen")
 

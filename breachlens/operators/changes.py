@@ -66,15 +66,16 @@ def update_by_id(table: DataFrame, changes: DataFrame, columns, *, order=None) -
 
 def update_leaks(leaks: DataFrame, changes: DataFrame, *, order=None) -> DataFrame:
     """K2: six columns are replaced, ``ingestion_ts`` is kept. A change without an id is an error."""
-    return update_by_id(leaks, _with_ids(changes), LEAK_UPDATABLE, order=order)
+    return update_by_id(leaks, with_ids(changes), LEAK_UPDATABLE, order=order)
 
 
 def update_credentials(store: DataFrame, changes: DataFrame, *, order=None) -> DataFrame:
     """K5: fifteen columns are replaced, ``count_seen`` and ``target_domain`` are kept."""
-    return update_by_id(store, _with_ids(changes), LEAK_DATA_WRITABLE, order=order)
+    return update_by_id(store, with_ids(changes), LEAK_DATA_WRITABLE, order=order)
 
 
-def _with_ids(changes):
+def with_ids(changes: DataFrame) -> DataFrame:
+    """Changes, each of which must name the id it is for."""
     missing = F.raise_error(F.lit("id not given; name the id to update")).cast("long")
     return changes.withColumn("id", F.coalesce(F.col("id"), missing))
 

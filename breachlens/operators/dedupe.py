@@ -6,12 +6,13 @@ a credential that makes up a third of a feed crosses the shuffle as one row per
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unequal_null_key
 from ..session import staged
-from .joins import BROADCAST_ROWS, drop_matching, fits_broadcast
+from .buckets import beside, buckets_of, marked
+from .joins import BROADCAST_ROWS, drop_matching, fits_broadcast, keep_matching
 
 DEDUPE_KEY = ["email", "password"]
 
@@ -45,8 +46,30 @@ def copies_per_key(rows: DataFrame, key, unique: Column) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key=DEDUPE_KEY, *, order, unique: Column) -> DataFrame:
-    """Drop later copies of a key inside one batch."""
-    return first_per_key(rows, key, order, unique).select("_row.*")
+    """Drop later copies of a key inside one batch (W1). Where copies need no count, rows are never packed into an aggregate."""
+    return _firsts(with_match_key(rows, key, unique), key, order).select(*rows.columns)
+
+
+def _firsts(marked_rows, key, order):
+    """The first row of each match key. Every task drops later copies before the shuffle (the window's group limit), so a hot key crosses it once per task."""
+    along = Window.partitionBy(*key[:-1], "_k").orderBy(*order)
+    return marked_rows.withColumn("_first", F.row_number().over(along)).filter("_first = 1").drop("_first")
+
+
+def known_rows(store: DataFrame, asked: DataFrame, columns, *, max_broadcast_rows: int = BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
+    """The store's rows, with ``columns``, whose (email, password) is in ``asked``: one scan of the store for everything an import wants of it.
+
+    A bucketed store is joined on the bucket as well, so a batch of bounded size has only its own buckets read.
+    """
+    keys, on = beside(store, asked.select(*DEDUPE_KEY).dropna().distinct(), DEDUPE_KEY)
+    columns = list(dict.fromkeys([*columns, *on]))
+    small = fits_broadcast(asked.select(*DEDUPE_KEY), max_broadcast_rows) if small is None else small
+    rows = store.select(*columns)
+    if small:
+        found = rows.join(F.broadcast(keys), on, "left_semi")
+    else:
+        found = keep_matching(rows, keys, on, unique=F.col("id"), max_broadcast_rows=0)
+    return found.select(*columns) if buckets_of(store) is None else marked(found.select(*columns), buckets_of(store))
 
 
 def drop_known(
@@ -71,11 +94,10 @@ def drop_known(
     if fits_broadcast(incoming.select(*key), max_broadcast_rows):
         # Known keys of a bounded batch are bounded as well: its known rows go before anything of it is sorted or shuffled.
         known = known.join(F.broadcast(match_keys(incoming, key)), join_key, "left_semi").distinct()
-        marked = with_match_key(incoming, key, unique)
-        unknown = marked.join(F.broadcast(known), join_key, "left_anti").select(*incoming.columns)
-        return keep_first(unknown, key, order=order, unique=unique)
-    firsts = first_per_key(incoming, key, order, unique)
-    return firsts.join(known.distinct(), join_key, "left_anti").select("_row.*")
+        unknown = with_match_key(incoming, key, unique).join(F.broadcast(known), join_key, "left_anti")
+        return _firsts(unknown, key, order).select(*incoming.columns)
+    firsts = _firsts(with_match_key(incoming, key, unique), key, order)
+    return firsts.join(known.distinct(), join_key, "left_anti").select(*incoming.columns)
 
 
 def drop_stored(incoming: DataFrame, store: DataFrame, key=DEDUPE_KEY, *, unique: Column, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -92,6 +114,7 @@ def drop_known_in_feed(
     order,
     unique: Column,
     max_broadcast_rows: int = BROADCAST_ROWS,
+    narrowed: bool = False,
 ) -> DataFrame:
     """``drop_known`` for a feed whose addresses are stored in another spelling than they arrive in.
 
@@ -101,11 +124,11 @@ def drop_known_in_feed(
       stored has the same key in normal form;
     - a row in another spelling never meets its own stored copy. It goes on, and raises the counter there.
     ``incoming`` should be a staged table: it is read once per branch. The store is scanned once for a batch of
-    bounded size.
+    bounded size; ``narrowed`` says that ``store`` holds no more than the batch's own rows already.
     """
     normal = F.col("email") == F.col(stored)
     asked = incoming.select(*key)
-    if fits_broadcast(asked, max_broadcast_rows):
+    if not narrowed and fits_broadcast(asked, max_broadcast_rows):
         store = staged(store.select(*key).join(F.broadcast(asked), list(key), "left_semi").distinct(), "known")
     usual = drop_known(incoming.filter(normal), store, key, order=order, unique=unique, max_broadcast_rows=0)
     # The few rows in another spelling: copies must be counted, so rows are kept and only keys are reduced.

@@ -16,6 +16,8 @@ from ..session import settings
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 256 << 20
+#: Inputs up to this size are counted in one job.
+SMALL_FILES = 64 << 20
 HEAVY_KEYS = 4096
 _TRACKED = 16384
 _SKETCH_GROUPS = 1024
@@ -26,17 +28,37 @@ _FIRST_LOOK = {"spark.sql.limit.initialNumPartitions": "8"}
 def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Has ``table`` at most ``max_rows`` rows and ``max_bytes`` of cell text?
 
-    The row check reads no columns and only as many partitions as decide it (``take``, unlike ``isEmpty`` or
-    ``count``, goes on from partition to partition); the texts are only summed up for a table whose rows are few. Where ``table`` is costly to compute, hand in what it is made from.
+    Where the files behind ``table`` are small, one job counts rows and bytes together. Else the row check comes first; it reads no columns and only
+    as many partitions as decide it (``take``, unlike ``isEmpty`` or ``count``, goes on from partition to partition), and
+    the texts are only summed up for a table whose rows are few. Where ``table`` is costly to compute, hand in what it is made from.
     """
     if max_rows <= 0:
         return False
+    cells = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in table.columns]
+    size = F.sum(reduce(lambda a, b: a + b, cells, F.lit(16).cast("long")))
+    files = file_bytes(table)
+    if files is not None and files <= SMALL_FILES:
+        found = table.agg(F.count("*").alias("rows"), size.alias("bytes")).first()
+        return found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes
     with settings(table.sparkSession, _FIRST_LOOK):
         if table.select(F.lit(1)).offset(max_rows).take(1):
             return False
-    cells = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in table.columns]
-    size = reduce(lambda a, b: a + b, cells, F.lit(16).cast("long"))
-    return (table.agg(F.sum(size)).first()[0] or 0) <= max_bytes
+    return (table.agg(size).first()[0] or 0) <= max_bytes
+
+
+def file_bytes(table: DataFrame) -> int | None:
+    """Bytes of all files that ``table`` is computed from, from their listing; None if it comes from anything but files."""
+    leaves = table._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LocalRelation":
+            total += int(str(leaf.stats().sizeInBytes()))
+        elif leaf.getClass().getSimpleName() == "LogicalRelation":
+            total += int(str(leaf.relation().sizeInBytes()))
+        else:
+            return None
+    return total
 
 
 def heavy_hashes(rows: DataFrame, keys) -> DataFrame:

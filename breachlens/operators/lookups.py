@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import match_key
 from ..session import staged
+from .buckets import BUCKET, beside, bucket_of, buckets_of
 from .joins import BROADCAST_ROWS, fits_broadcast, keep_matching
 
 
@@ -21,8 +22,10 @@ def _email_key(store):
 
 
 def by_email(store: DataFrame, email: str) -> DataFrame:
-    """address in any case."""
-    return store.filter(_email_key(store) == F.upper(F.lit(email)))
+    """address in any case. Of a bucketed table one bucket is read."""
+    found = store.filter(_email_key(store) == F.upper(F.lit(email)))
+    buckets = buckets_of(store)
+    return found if buckets is None else found.filter(F.col(BUCKET) == bucket_of(F.lit(email), buckets))
 
 
 def by_email_and_password(store: DataFrame, email: str, password: str) -> DataFrame:
@@ -72,18 +75,18 @@ def distinct_sorted(table: DataFrame, column: str) -> DataFrame:
 def rows_for_emails(store, asked, *, max_broadcast_rows=BROADCAST_ROWS) -> DataFrame:
     """F1 in bulk: store rows whose address is in ``asked.email``."""
     keys = asked.select(match_key(F.col("email")).alias("email_key"))
+    keys, on = beside(store, keys, ["email_key"], "email_key")
     keyed = store.withColumn("email_key", _email_key(store))
-    found = keep_matching(keyed, keys, "email_key", unique=F.col("id"), max_broadcast_rows=max_broadcast_rows)
+    found = keep_matching(keyed, keys, on, unique=F.col("id"), max_broadcast_rows=max_broadcast_rows)
     return found.select(*store.columns)
 
 
 def rows_for_credentials(store, asked, *, max_broadcast_rows=BROADCAST_ROWS) -> DataFrame:
     """F2 in bulk: store rows whose (address, password) is in ``asked``."""
     keys = asked.select(match_key(F.col("email")).alias("email_key"), "password")
+    keys, on = beside(store, keys, ["email_key", "password"], "email_key")
     keyed = store.withColumn("email_key", _email_key(store))
-    found = keep_matching(
-        keyed, keys, ["email_key", "password"], unique=F.col("id"), max_broadcast_rows=max_broadcast_rows
-    )
+    found = keep_matching(keyed, keys, on, unique=F.col("id"), max_broadcast_rows=max_broadcast_rows)
     return found.select(*store.columns)
 
 

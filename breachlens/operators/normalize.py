@@ -166,6 +166,20 @@ def filter_rows(rows: DataFrame, predicate: Column | None = None) -> DataFrame:
     return rows if predicate is None else rows.filter(predicate)
 
 
-def masked(rows: DataFrame, columns=("password", "password_plain", "password_hashed")) -> DataFrame:
-    """For anything shown to people."""
-    return rows.withColumns({c: text.mask(F.col(c)) for c in columns if c in rows.columns})
+#: Cells with a secret, by their names in any layout, the original line of a row included.
+SECRETS = ("password", "password_plain", "password_hashed", "password_plaintext", "salt", "cc_number", "original_line")
+
+
+def masked(rows: DataFrame, columns=SECRETS) -> DataFrame:
+    """For anything shown to people. Of an original line only the cells that hold secrets are masked, where it can be told which they are."""
+    cells = {c: text.mask(F.col(c)) for c in columns if c in rows.columns and c != "original_line"}
+    if "original_line" in columns and "original_line" in rows.columns:
+        cells["original_line"] = masked_line(F.col("original_line"))
+    return rows.withColumns(cells)
+
+
+def masked_line(line: Column) -> Column:
+    """An original line without its secrets: a row written as JSON keeps its other cells, of any other line only the first and the last two characters stay."""
+    cells = F.from_json(line, "map<string, string>")
+    kept = F.transform_values(cells, lambda name, value: F.when(name.isin(list(SECRETS)), text.mask(value)).otherwise(value))
+    return F.when(line.startswith("{") & cells.isNotNull(), F.to_json(kept)).otherwise(text.mask(line))

@@ -1,9 +1,11 @@
 """The two imports. Each stages its input once and derives everything else from the staged tables."""
 
 import time
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from .. import __version__
 from ..functions.values import CREDENTIAL_TYPES, DEFAULT_CREDENTIAL_TYPE, SPYCLOUD_SOURCE
 from ..operators import changes, dedupe, normalize
 from ..operators.enrich import directory_fits, enrich
+from ..operators.buckets import BUCKET
 from ..operators.ids import next_id
 from ..operators.joins import BROADCAST_ROWS, fits_broadcast
-from ..schemas import LEAK_DATA, LINEAGE
-from ..session import staged
+from ..schemas import LEAK_DATA, LEAK_DATA_KEY, LINEAGE
+from ..session import collected_scratch, remove_scratch, staged, staged_counted
 from ..sources.files import lineage_id, scan_leak_csv, scan_spycloud
 from .store import Store
 
@@ -39,17 +42,29 @@ class Reference:
 
 
 class ImportResult:
-    """What an import found. The staged feed and outcome exist; what goes to the store is worked out when asked for."""
+    """What an import found. The staged feed and outcome exist; what goes to the store is worked out when asked for.
+
+    ``close()`` (or the end of a ``with`` block) removes what was staged, secrets included; frames of the result can't be read afterwards.
+    """
 
     already_applied = False
 
-    def __init__(self, judged, outcome, *, stored, first_id, max_broadcast_rows, began, failed=None):
+    def __init__(self, judged, outcome, *, stored, first_id, max_broadcast_rows, began, counts, scratch, failed=None):
         self._judged, self._stored, self._failed = judged, stored, failed
         self._first_id, self._max_broadcast_rows = first_id, max_broadcast_rows
-        self._began = began
+        self._began, self._counts, self._scratch = began, counts, scratch
         #: rows that go on to the store, with their flags
         self.outcome = outcome
 
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()
+
+    def close(self) -> None:
+        remove_scratch(self.outcome.sparkSession, self._scratch)
+
     @property
     def rejected(self) -> DataFrame:
         """Rows set aside, before or after enrichment: the original line, the reasons, the position."""
@@ -65,16 +80,21 @@ class ImportResult:
     @cached_property
     def resolved(self) -> DataFrame:
         """One row per stored key, with the id of the credential it meets."""
-        found = changes.resolve_batch(
-            self._stored, self.outcome, order=LINEAGE, unique=lineage_id(), max_broadcast_rows=self._max_broadcast_rows
-        )
-        return staged(found, "resolved")
+        with collected_scratch(self._scratch):
+            found = changes.resolve_batch(
+                self._stored, self.outcome, order=LINEAGE, unique=lineage_id(), max_broadcast_rows=self._max_broadcast_rows
+            )
+            new = F.col("id").isNull()
+            resolved, counted = staged_counted(found, "resolved", inserted=F.count_if(new), raised=F.count_if(~new))
+        self._counts |= counted
+        return resolved
 
     @cached_property
     def inserts(self) -> DataFrame:
         """New credentials with ids, as the table stores them."""
-        first_id = next_id(self._stored) if self._first_id is None else self._first_id
-        return changes.inserts(self.resolved, LEAK_DATA, first_id=first_id, order=LINEAGE)
+        first_id = self._first_id() if callable(self._first_id) else self._first_id
+        with collected_scratch(self._scratch):
+            return changes.inserts(self.resolved, LEAK_DATA, first_id=first_id, order=LINEAGE)
 
     @cached_property
     def raises(self) -> DataFrame:
@@ -83,12 +103,26 @@ class ImportResult:
 
     @cached_property
     def report(self) -> DataFrame:
-        """One row: the answer's envelope and the books (rows_in = count + duplicates + filtered + rejected)."""
-        return _report(self._judged, self.outcome, self.resolved, self._began, self._failed)
+        """One row: the answer's envelope and the books (rows_in = count + duplicates + filtered + rejected), as counted while rows were written."""
+        spark, _, counts = self.outcome.sparkSession, self.resolved, self._counts
+        rejected = counts["rejected"] + counts.get("failed", 0)
+        kept = counts["kept"] if "kept" in counts else counts["rows_in"] - counts["filtered"] - rejected
+        books = {
+            "count": kept, "rows_in": counts["rows_in"], "duplicates": counts["rows_in"] - kept - counts["filtered"] - rejected,
+            "filtered": counts["filtered"], "rejected": rejected, "inserted": counts["inserted"], "raised": counts["raised"],
+        }
+        return _envelope(spark, self._began, success=True, **books)
+
+    @property
+    def set_aside(self) -> DataFrame:
+        """``rejected`` as it is kept in the store: which rows were flagged for a person, and no secrets."""
+        before = normalize.split_valid(self._judged)[1].select(*_ASIDE, F.lit(False).alias("flagged"))
+        found = before if self._failed is None else before.unionByName(self._failed.select(*_ASIDE, F.lit(True).alias("flagged")))
+        return normalize.masked(found)
 
 
 class AlreadyApplied:
-    """The answer to a batch that was committed before: nothing was done again."""
+    """The answer to a batch that was committed before: nothing was done again. What was kept with the batch can be read."""
 
     already_applied = True
 
@@ -96,10 +130,51 @@ class AlreadyApplied:
         self._store, self._batch, self._kind = store, batch, kind
 
     @property
-    def outcome(self) -> DataFrame:
-        """What the batch's first run handed to its outputs."""
+    def outcome(self) -> DataFrame | None:
+        """What the batch's first run handed to its outputs; None if the batch was committed without."""
         return self._store.outcome(self._batch, self._kind)
 
+    @property
+    def rejected(self) -> DataFrame | None:
+        """What the first run set aside, without secrets."""
+        return self._store.rejected(self._batch, self._kind)
+
+    @property
+    def report(self) -> DataFrame | None:
+        """The first run's envelope."""
+        return self._store.report(self._batch, self._kind)
+
+    def close(self) -> None:
+        """Nothing was staged."""
+
+
+_ENVELOPE = (
+    "version string, duration double, count long, rows_in long, duplicates long, filtered long, rejected long, inserted long, raised long, "
+    "success boolean, errormsg string"
+)
+
+
+def _envelope(spark, began, **values) -> DataFrame:
+    known = {"version": __version__, "duration": round(time.monotonic() - began, 3)} | values
+    names = [field.split(" ")[0] for field in _ENVELOPE.split(", ")]
+    return spark.createDataFrame([tuple(known.get(name) for name in names)], _ENVELOPE)
+
+
+def answered(spark: SparkSession, run: Callable) -> tuple[DataFrame, object]:
+    """(the envelope, what ``run()`` returned or None): an import that fails gives an answer too, with ``success`` false and what went wrong (K6).
+
+    Of an error that Spark raises only its name is told, since its text may quote cells.
+    """
+    began = time.monotonic()
+    try:
+        result = run()
+        report = result.report
+        return (_envelope(spark, began, success=True) if report is None else report), result
+    except PySparkException as problem:
+        return _envelope(spark, began, success=False, errormsg=problem.getCondition() or type(problem).__name__), None
+    except (ValueError, RuntimeError, OSError) as problem:
+        return _envelope(spark, began, success=False, errormsg=str(problem)), None
+
 
 _ASIDE = ["original_line", "error_msg", *LINEAGE]
 
@@ -126,24 +201,40 @@ def import_feed(
     ``row_filter`` (a predicate on internal rows), ``enrichers`` (DataFrame -> DataFrame, after the built-in
     ones) and ``dedupe_key`` (add ``leak_id`` and ``domain`` to look at copies within one leak only).
     """
+    scratch: list = []
+    with collected_scratch(scratch):
+        return _import_feed(
+            rows, stored, leak_id, reference, parser, row_filter, enrichers, dedupe_key, strict, first_id, max_broadcast_rows, scratch
+        )
+
+
+def _import_feed(rows, stored, leak_id, reference, parser, row_filter, enrichers, dedupe_key, strict, first_id, max_broadcast_rows, scratch):
     began = time.monotonic()
     parse = normalize.parse_spycloud if parser is None else parser
     internal = parse(rows).withColumn("leak_id", F.lit(leak_id).cast("long"))
     passes = F.lit(True) if row_filter is None else F.coalesce(row_filter, F.lit(False))
     judged = normalize.check_output(internal).withColumn("passes", passes)
-    judged = staged(judged, "feed")
-    good, bad = normalize.split_valid(judged)
-    if strict and not bad.isEmpty():
+    judged, counts = staged_counted(judged, "feed", **_books())
+    good, _ = normalize.split_valid(judged)
+    if strict and counts["rejected"]:
         raise BadRows("the feed has rows that fail a check")
     unique = lineage_id()
     kept = normalize.filter_rows(good, F.col("passes")).drop("passes")
     pinned = {"order": LINEAGE, "unique": unique, "max_broadcast_rows": max_broadcast_rows}
     if reference.credential_type not in CREDENTIAL_TYPES:
         raise ValueError(f"credential_type {reference.credential_type!r} is not a known type")
+    whole, first_id = stored, first_id if first_id is not None else lambda: next_id(whole)
+    # One scan of the store for all that the batch asks of it: rows it may repeat, and rows whose counters it may raise.
+    spellings = F.explode(F.array_distinct(F.array("email", "email_stored"))).alias("email")
+    asked = kept.select(spellings, "password")
+    known = staged(
+        dedupe.known_rows(stored, asked, ["id", *LEAK_DATA_KEY, *dedupe_key], max_broadcast_rows=max_broadcast_rows).drop(BUCKET), "known"
+    )
     if enrichers:
-        fresh = dedupe.drop_stored(kept, stored, dedupe_key, unique=unique, max_broadcast_rows=max_broadcast_rows)
+        fresh = dedupe.drop_stored(kept, known, dedupe_key, unique=unique, max_broadcast_rows=max_broadcast_rows)
     else:
-        fresh = dedupe.drop_known_in_feed(kept, stored, dedupe_key, **pinned)
+        fresh = dedupe.drop_known_in_feed(kept, known, dedupe_key, narrowed=True, **pinned)
+        stored = known
     small_vips = fits_broadcast(reference.vips, max_broadcast_rows)
     small_directory = directory_fits(reference.directory, max_broadcast_rows)
     if not (small_vips and small_directory):
@@ -164,14 +255,22 @@ def import_feed(
     if enrichers:
         for more in enrichers:
             outcome = outcome.transform(more)
-        good, failed = normalize.split_valid(staged(normalize.check_output(outcome), "enriched"))
-        outcome = dedupe.drop_known_in_feed(good, stored.limit(0), dedupe_key, **pinned)
-    outcome = staged(outcome.withColumn("email", F.col("email_stored")).drop("email_stored"), "outcome")
+        enriched, counted = staged_counted(normalize.check_output(outcome), "enriched", failed=F.count_if(F.col("error_msg").isNotNull()))
+        counts |= counted
+        good, failed = normalize.split_valid(enriched)
+        outcome = dedupe.drop_known_in_feed(good, known.limit(0), dedupe_key, narrowed=True, **pinned)
+    outcome, counted = staged_counted(outcome.withColumn("email", F.col("email_stored")).drop("email_stored"), "outcome", kept=F.count("*"))
     return ImportResult(
-        judged, outcome, stored=stored, first_id=first_id, max_broadcast_rows=max_broadcast_rows, began=began, failed=failed
+        judged, outcome, stored=stored, first_id=first_id, max_broadcast_rows=max_broadcast_rows, began=began, failed=failed,
+        counts=counts | counted, scratch=scratch,
     )
 
 
+def _books() -> dict:
+    bad = F.col("error_msg").isNotNull()
+    return {"rows_in": F.count("*"), "filtered": F.count_if(~bad & ~F.col("passes")), "rejected": F.count_if(bad)}
+
+
 def import_rows_of_leak(
     rows: DataFrame,
     *,
@@ -182,48 +281,31 @@ def import_rows_of_leak(
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> ImportResult:
     """Scanned generic rows -> upsert into a known leak, whatever leak the rows name. No dedupe and no enrichment."""
-    began = time.monotonic()
+    began, scratch = time.monotonic(), []
     if len(leaks.filter(F.col("id") == leak_id).select("id").take(2)) != 1:
         raise UnknownLeak(f"leak {leak_id} not found")
     filed = rows.withColumn("leak_id", F.lit(leak_id).cast("long"))
-    judged = staged(normalize.leak_csv_to_internal(filed).withColumn("passes", F.lit(True)), "feed")
-    good, _ = normalize.split_valid(judged)
+    with collected_scratch(scratch):
+        judged, counts = staged_counted(normalize.leak_csv_to_internal(filed).withColumn("passes", F.lit(True)), "feed", **_books())
+        good, _ = normalize.split_valid(judged)
+        # One scan of the store, cut to the batch's addresses.
+        known = dedupe.known_rows(stored, good, ["id", *LEAK_DATA_KEY], max_broadcast_rows=max_broadcast_rows)
     return ImportResult(
-        judged, good, stored=stored, first_id=first_id, max_broadcast_rows=max_broadcast_rows, began=began
+        judged, good, stored=known, first_id=first_id if first_id is not None else lambda: next_id(stored),
+        max_broadcast_rows=max_broadcast_rows, began=began, counts=counts, scratch=scratch,
     )
 
 
-def touched_rows(stored: DataFrame, result: ImportResult) -> DataFrame:
-    """After the commit: the stored rows an import touched, with ``is_new``. Ids are unique, so a plain join."""
-    ids = result.inserts.select("id", F.lit(True).alias("is_new"))
-    ids = ids.unionByName(result.raises.select("id", F.lit(False).alias("is_new")))
-    return stored.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "id")
+def touched_rows(stored: DataFrame | Store, result: ImportResult) -> DataFrame:
+    """After the commit: the stored rows an import touched, with ``is_new``. Ids are unique, so a plain join.
 
-
-def _report(judged, outcome, resolved, began, failed=None) -> DataFrame:
-    bad = F.col("error_msg").isNotNull()
-    feed = judged.agg(
-        F.count("*").alias("rows_in"),
-        F.count_if(~bad & ~F.col("passes")).alias("filtered"),
-        F.count_if(bad).alias("rejected"),
-    ).first()
-    new = F.col("id").isNull()
-    tally = resolved.agg(F.count_if(new).alias("inserted"), F.count_if(~new).alias("raised"))
-    kept = outcome.count()
-    rejected = feed.rejected + (0 if failed is None else failed.count())
-    return tally.select(
-        F.lit(__version__).alias("version"),
-        F.lit(round(time.monotonic() - began, 3)).alias("duration"),
-        F.lit(kept).cast("long").alias("count"),
-        F.lit(feed.rows_in).cast("long").alias("rows_in"),
-        F.lit(feed.rows_in - kept - feed.filtered - rejected).cast("long").alias("duplicates"),
-        F.lit(feed.filtered).cast("long").alias("filtered"),
-        F.lit(rejected).cast("long").alias("rejected"),
-        "inserted",
-        "raised",
-        F.lit(True).alias("success"),
-        F.lit(None).cast("string").alias("errormsg"),
-    )
+    A store is only asked for the addresses of those rows, so its other buckets are not read and other counters not added up.
+    """
+    ids = result.inserts.select("id", "email", F.lit(True).alias("is_new"))
+    ids = ids.unionByName(result.raises.select("id", F.col("email_key").alias("email"), F.lit(False).alias("is_new")))
+    rows = stored.credentials(ids.select("email")) if isinstance(stored, Store) else stored
+    ids = ids.drop("email")
+    return rows.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "id")
 
 
 # ---- on a store ----------------------------------------------------------------------------------
@@ -250,13 +332,15 @@ def import_spycloud_files(
 
 
 def import_scanned_feed(
-    spark, store: Store, rows, *, ticket_id, summary, reference, run_ts, batch, kind="batch", outputs=(), **options
+    spark, store: Store, rows, *, ticket_id, summary, reference, run_ts, batch, kind="batch", outputs=(), set_aside=None, **options
 ) -> ImportResult | AlreadyApplied:
     """The same for rows already scanned.
 
-    A batch that is already committed is not worked through again; the answer says so. Each of ``outputs`` is called with the outcome
-    that was committed with the batch, and a mark is set when all have returned; a run of the batch after a crash before
-    that calls them again with the very same rows, so they should be able to take a batch twice.
+    A batch that is already committed is not worked through again; the answer says so. Outcome, report and the rows set aside (and those of ``set_aside``,
+    files that could not be scanned) are kept with the batch. ``outputs`` is a list of functions, or functions by name;
+    each is called with the outcome that was committed with the batch and marked when it has returned. A run of the batch after a crash
+    calls those without a mark, with the very same rows, so they should be able to take a batch twice; an output that comes in
+    later gets it too. A batch committed without an outcome has nothing for them.
     """
     if not ticket_id or not summary:
         raise ValueError("an import needs a ticket id and a summary")
@@ -268,25 +352,41 @@ def import_scanned_feed(
         pairs, created = changes.find_or_create_leaks(store.leaks(), wanted, run_ts=run_ts, source_name=SPYCLOUD_SOURCE)
         leak_id = pairs.first()["leak_id"]
         result = import_feed(rows, stored=store.rows(), leak_id=leak_id, reference=reference, first_id=store.next_id(), **options)
-        store.commit(
-            batch, kind=kind, inserts=result.inserts, raises=result.raises, leaks=created,
-            outcome=result.outcome if outputs else None, since=seen,
-        )
-    if outputs and not store.delivered(batch, kind):
-        for output in outputs:
-            output(store.outcome(batch, kind))
-        store.mark_delivered(batch, kind)
+        _commit(store, batch, result, kind=kind, since=seen, leaks=created, more=set_aside)
+    _deliver(store, batch, kind, outputs)
     return result
 
 
-def import_leak_files(spark, store: Store, paths, *, leak_id: int, batch: str, **options) -> ImportResult | AlreadyApplied:
-    """Generic CSV files -> store, under a leak that must exist."""
+def import_leak_files(spark, store: Store, paths, *, leak_id: int, batch: str, outputs=(), **options) -> ImportResult | AlreadyApplied:
+    """Generic CSV files -> store, under a leak that must exist. ``outputs`` as above."""
     if store.has(batch):
-        return AlreadyApplied(store, batch, "batch")
-    seen = store.mark()
-    result = import_rows_of_leak(
-        scan_leak_csv(spark, paths, leak_id), stored=store.rows(), leaks=store.leaks(), leak_id=leak_id,
-        first_id=store.next_id(), **options,
-    )
-    store.commit(batch, inserts=result.inserts, raises=result.raises, since=seen)
+        result = AlreadyApplied(store, batch, "batch")
+    else:
+        seen = store.mark()
+        result = import_rows_of_leak(
+            scan_leak_csv(spark, paths, leak_id), stored=store.rows(), leaks=store.leaks(), leak_id=leak_id,
+            first_id=store.next_id(), **options,
+        )
+        _commit(store, batch, result, since=seen)
+    _deliver(store, batch, "batch", outputs)
     return result
+
+
+def _commit(store, batch, result, *, kind="batch", since, leaks=None, more=None):
+    aside = result.set_aside
+    if more is not None:
+        aside = aside.unionByName(normalize.masked(more).withColumn("flagged", F.lit(False)))
+    store.commit(
+        batch, kind=kind, inserts=result.inserts, raises=result.raises, leaks=leaks, since=since,
+        outcome=result.outcome, rejected=aside, report=result.report.coalesce(1),
+    )
+
+
+def _deliver(store, batch, kind, outputs):
+    named = outputs if isinstance(outputs, Mapping) else {str(n): output for n, output in enumerate(outputs)}
+    waiting = {name: output for name, output in named.items() if not store.delivered(batch, kind, name)}
+    outcome = store.outcome(batch, kind) if waiting else None
+    if outcome is not None:
+        for name, output in waiting.items():
+            output(outcome)
+            store.mark_delivered(batch, kind, name)

@@ -3,8 +3,9 @@
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # The JVM never compiles a method of more than 8000 bytes. Spark's own limit is far higher, so the code it makes for a wide
 # row with a test per column would be interpreted, several times slower. With this limit it cuts such code up.
@@ -54,9 +55,33 @@ def scratch_root(spark: SparkSession) -> str:
     return created
 
 
+_collecting: ContextVar[list | None] = ContextVar("collecting", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path nothing else uses."""
-    return f"{scratch_root(spark).rstrip('/')}/breachlens/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/breachlens/{name}-{uuid.uuid4().hex}"
+    if _collecting.get() is not None:
+        _collecting.get().append(path)
+    return path
+
+
+@contextmanager
+def collected_scratch(paths: list):
+    """Adds to ``paths`` what is staged inside, so that it can be removed when its results are no longer needed."""
+    token = _collecting.set(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.reset(token)
+
+
+def remove_scratch(spark: SparkSession, paths: list) -> None:
+    """Remove staged tables. Frames that still read them fail afterwards."""
+    for text in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -72,6 +97,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """``staged``, and the aggregates ``counts`` of the rows as they were written: no job of their own.
+
+    They are taken right below the write, whose tasks count once however often they run.
+    """
+    watched = Observation()
+    written = staged(df.observe(watched, *[value.alias(key) for key, value in counts.items()]), name)
+    return written, watched.get
+
+
 @contextmanager
 def settings(spark: SparkSession, conf: dict):
     """Session settings for one write; what was set before is set again afterwards."""

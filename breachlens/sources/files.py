@@ -6,11 +6,16 @@ reason; lines with too few are padded with NULL. Both come out of one pass: a sc
 NULL on usable rows.
 """
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..files import Files
 from ..functions.text import blank_to_null, strip
 from ..functions.values import GENERIC_NA, SPYCLOUD_NA
 from ..schemas import DIRECTORY, LEAK_CSV_COLUMNS, LINEAGE, SPYCLOUD_COLUMNS, all_text
@@ -28,6 +33,23 @@ def header_of(spark: SparkSession, paths, sep: str = ",") -> list[str]:
     return spark.read.options(header=True, sep=sep, escape='"').csv(paths).columns
 
 
+def by_header(spark: SparkSession, paths, sep: str = ",", *, listed: bool = False) -> list[tuple[list[str], list[str]]]:
+    """[(column names, files)]: the files of ``paths`` by the header they have. Of each file one line is read.
+
+    Only names and first lines pass through the driver, several at a time. ``listed`` says that ``paths`` are the files themselves.
+    """
+    files = sorted(paths if listed else (unquote(name) for name in spark.read.text(paths).inputFiles()))
+    if len(files) <= 1 and not listed:
+        return [(header_of(spark, paths, sep), files)] if files else []
+    reader = Files(spark, files[0])
+    with ThreadPoolExecutor(16) as pool:
+        lines = list(pool.map(reader.first_line, files))
+    groups = {}
+    for name, line in zip(files, lines, strict=True):
+        groups.setdefault(line, []).append(name)
+    return [(header_of(spark, some[0], sep), some) for line, some in groups.items() if line]
+
+
 def with_lineage(scan: DataFrame) -> DataFrame:
     """Add the position of each row: file, block in the file, place in the block."""
     return scan.select(
@@ -52,19 +74,34 @@ def field_count(line: Column, sep: str = ",") -> Column:
 def scan_csv(
     spark: SparkSession, paths, columns, *, na=GENERIC_NA, sep=",", multi_line=False, header=None, has_header=True
 ):
-    """Rows of CSV files with one common header.
+    """Rows of CSV files, each bound by the names in its own header.
 
     The result has exactly ``columns`` (missing ones NULL, unknown ones ignored) with ``na`` cells NULL, then ``bad_line``
-    and the lineage. A file whose header differs from the first one's fails the read rather than being
+    and the lineage. Files with the same header are one scan; files that have another order or a part of the columns are scans of their own,
+    put together by name. With ``header`` all files must have that one: one that differs fails the read rather than being
     misread; ``has_header=False`` takes the names from ``header``. ``multi_line`` allows line breaks in quotes;
     such files are not split among tasks.
     """
-    header = header or header_of(spark, paths, sep)
+    if header is None:
+        groups = by_header(spark, paths, sep)
+        if len(groups) > 1:
+            options = {"na": na, "sep": sep, "multi_line": multi_line}
+            scans = [scan_csv(spark, files, columns, header=names, **options) for names, files in groups]
+            return reduce(DataFrame.unionByName, scans)
+        if not groups:
+            return empty_scan(spark, columns)
+        header = groups[0][0]
     reader = spark.read.options(header=has_header, sep=sep, escape='"', enforceSchema=False, multiLine=multi_line)
     scan = reader.options(**PARSING).schema(raw_schema(header)).csv(paths)
     return cells(with_lineage(scan), header, columns, na=na, sep=sep)
 
 
+def empty_scan(spark: SparkSession, columns) -> DataFrame:
+    """A scan without rows."""
+    lineage = [T.StructField("src_file", T.StringType()), *[T.StructField(c, T.LongType()) for c in LINEAGE[1:]]]
+    return spark.createDataFrame([], T.StructType([*all_text([*columns, BAD_LINE]).fields, *lineage]))
+
+
 def raw_schema(header):
     return T.StructType(all_text(header).fields + [T.StructField(CORRUPT, T.StringType())])
 
@@ -104,11 +141,7 @@ def collect_csv(spark, paths, columns, **options) -> tuple[str, DataFrame]:
     try:
         return "OK", scan_csv(spark, paths, columns, **options)
     except AnalysisException as problem:
-        lineage = T.StructType(
-            [T.StructField(c, T.StringType()) for c in (BAD_LINE, "src_file")]
-            + [T.StructField(c, T.LongType()) for c in LINEAGE[1:]]
-        )
-        return str(problem), spark.createDataFrame([], T.StructType(all_text(columns).fields + lineage.fields))
+        return str(problem), empty_scan(spark, columns)
 
 
 def scan_vips(spark, path) -> DataFrame:

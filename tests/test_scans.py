@@ -51,11 +51,32 @@ def test_other_separator(spark, folder):
     assert rows(good.select("a", "b")) == [("1", "2")] and bad.count() == 1
 
 
-def test_a_file_with_another_header_is_refused(spark, folder):
+def test_a_file_with_another_header_than_the_given_one_is_refused(spark, folder):
     write(folder, "a.csv", "email,password\na@b.co,1\n")
     write(folder, "b.csv", "password,email\n2,c@d.co\n")
     with pytest.raises(Exception, match="header"):
-        files.scan_csv(spark, folder, ["email", "password"]).collect()
+        files.scan_csv(spark, folder, ["email", "password"], header=["email", "password"]).collect()
+
+
+def test_files_are_bound_by_their_own_headers(spark, folder):
+    """Other orders, parts of the columns, unknown ones, a blank name, compressed and empty files."""
+    import gzip
+
+    write(folder, "a.csv", "email,password\na@b.co,1\n")
+    write(folder, "b.csv", "\npassword,email\n2,c@d.co\n3,e@f.co,extra\n")
+    write(folder, "c c.csv", "email\ng@h.co\n")
+    write(folder, "d.csv", "x,email,password\n,i@j.co,4\n")
+    write(folder, "empty.csv", "")
+    with gzip.open(os.path.join(folder, "e.csv.gz"), "wt") as handle:
+        handle.write("password,email\n5,k@l.co\n")
+    scan = files.scan_csv(spark, folder, ["email", "password"])
+    good, bad = files.split_bad_lines(scan)
+    assert rows(good.select("email", "password")) == [
+        ("a@b.co", "1"), ("c@d.co", "2"), ("g@h.co", None), ("i@j.co", "4"), ("k@l.co", "5")
+    ]
+    assert rows(bad.select("original_line")) == [("3,e@f.co,extra",)]
+    assert scan.select(*files.LINEAGE).distinct().count() == 6
+    assert sorted(len(some) for _, some in files.by_header(spark, folder)) == [1, 1, 1, 2]
 
 
 def test_lineage_follows_the_lines(spark, folder):
