@@ -1198,6 +1198,12 @@ def stored_exists_by_passwords(t):
     return lookups.counts_by_password(_stored(t, t.store).rows(), t.asked_passwords)
 
 
+@query(oracle("select count(*) as count from store where 'pw7' in (password, password_plain, password_hashed)", "store"))
+def stored_exists_by_password(t):
+    """A2, one question: the test on all three columns reaches the scan, whose bloom filters pass over files without the value."""
+    return lookups.count_by_password(_stored(t, t.store).rows(), "pw7")
+
+
 @query(oracle("select id, email, case when id % 5 = 0 then 'Edge' else browser end as browser, count_seen from target", "target"))
 def stored_cred_update(t):
     """K5 on a stored table."""

@@ -36,6 +36,8 @@ _KEYED = [T.StructField("email_key", T.StringType()), T.StructField(BUCKET, T.In
 _STORED = T.StructType(LEAK_DATA.fields + _KEYED)
 _RAISES = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), *_KEYED])
 _KINDS = {"credentials": _STORED, "raises": _RAISES, "leaks": LEAK}
+#: Columns that questions and the dedupe compare: files and row groups without the value are passed over.
+_BLOOMED = ("email_key", "email", "password", "password_plain", "password_hashed", "domain")
 _KNOWN = "kind string, batch string, label string, kept string"
 _OWN = ("base", "update")
 
@@ -318,9 +320,10 @@ class Store:
             # Buckets of ordinary size get one file; a bucket with an address of very many rows is split among tasks.
             laid = rows.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, "email_key", "id").observe(watched, *counted)
             writer = laid.write.partitionBy(BUCKET)
-            for column in ("email_key", "email"):
-                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-            writer.parquet(path)
+            for column in _BLOOMED:
+                if column in schema.names:
+                    writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
         return watched.get["n"], watched.get["top"]
 
 

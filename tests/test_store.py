@@ -252,3 +252,31 @@ def test_a_stream_takes_files_of_any_known_header(spark, folder, reference):  #
     assert len(store.log()) <= 2 and store.credentials().count() == 5 and store.has("s-0", "stream")
 
 
+
+
+def rows_read(spark, df):
+    """Rows that the scans of a frame give: whole row groups."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")
+        df.collect()
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_files_without_the_value_are_passed_over(spark, folder):
+    """Five batches whose values lie between each other's, so minima and maxima tell nothing: a question for one password or address reads one of them."""
+    store = Store(spark, folder, buckets=1)
+    for n in range(5):
+        rows_of = credentials(spark, 1 + 200 * n, 200)
+        mixed = F.concat(F.col("id") % 200, F.lit(f"-{n}"))
+        named = rows_of.withColumns({"email": F.concat(F.lit("a"), mixed, F.lit("@x.co")), "password": F.concat(F.lit("p"), mixed)})
+        store.commit(str(n), inserts=named.withColumn("password_hashed", F.sha2("password", 256)))
+    asked = lookups.count_by_password(store.rows(), "p17-3")
+    assert "Or(Or(EqualTo(password,p17-3)" in plan(asked)
+    assert asked.first()["count"] == 1 and rows_read(spark, lookups.count_by_password(store.rows(), "p17-3")) == 200
+    assert rows_read(spark, lookups.count_by_password(store.rows(), "absent")) == 0
+    assert rows_read(spark, lookups.by_email(store.rows(), "A17-3@X.co")) == 200
+    assert sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(folder) for f in names) < 4 << 20
