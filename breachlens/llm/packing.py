@@ -20,7 +20,7 @@ from .token_counts import _L, _N, _S, _letters
 #: Tokens of a sequence, and the id that closes a document.
 MOST, END = 4096, 1
 #: Bytes of words and their ids kept per Python worker and generation, and the longest word (in bytes) that is merged here.
-KEPT, SHORT = 40 << 20, 32
+KEPT, SHORT = 128 << 20, 32
 #: Rounds of the weights, how strongly a round changes them, how far below the best a configuration may be worth to be taken, and a step of it.
 ROUNDS, RATE, SLACK, NEAR = 16, 0.002, 0.004, 1e-4
 _NOTHING = 1e-9
