@@ -57,6 +57,7 @@ def test_lookup_reaches_the_scan(spark, t, folder):
     assert "EqualTo(email_key,USER3@X.CO)" in text
     narrow = plan(lookups.by_email(store.rows(), "user3@x.co").agg(F.count("*")))
     assert "ReadSchema: struct<email_key:string>" in narrow
+    store.commit("two", raises=t.target.limit(500).select("id", F.upper("email").alias("email_key"), F.lit(1).alias("n")))
     counted = plan(lookups.by_email(store.credentials(), "user3@x.co"))
     assert counted.count("EqualTo(email_key,USER3@X.CO)") == 2
 
