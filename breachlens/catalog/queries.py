@@ -1212,6 +1212,48 @@ def stored_cred_update(t):
     return store.credentials().select("id", "email", "browser", "count_seen")
 
 
+_VOLUME = "count(*) as credentials, cast(sum(count_seen) as bigint) as times_seen"
+
+#: What stands in the store of ``_counted_store``: three batches, raises before and after an update and a compaction.
+_RECOUNTED = (
+    "recounted as (select id, email, malware_name, case when id % 5 = 0 then 'Moved' else dg end as dg, "
+    "count_seen + case when id % 3 = 0 then 2 else 0 end + case when id % 4 = 0 then 1 else 0 end as count_seen from target)"
+)
+
+
+def _counted_store(t):
+    store = Store(t.spark, scratch_path(t.spark, "store"), statistics=True)
+    for part in range(3):
+        store.commit(f"rows-{part}", inserts=t.target.filter(F.col("id") % 3 == part).select(*LEAK_DATA.names))
+
+    def raised(every, n):
+        rows = t.target.filter(F.col("id") % every == 0)
+        return rows.select("id", F.upper("email").alias("email_key"), F.lit(n).cast("long").alias("n"))
+
+    store.commit("raises", raises=raised(3, 2))
+    store.update_credentials(t.target.filter("id % 5 = 0").withColumn("dg", F.lit("Moved")))
+    store.compact()
+    store.commit("more raises", raises=raised(4, 1))
+    return store
+
+
+@query(oracle(f"select dg, {_VOLUME} from recounted group by 1", "target", also=_RECOUNTED))
+def stored_stat_by_dept(t):
+    """Volume per department from the counts kept with each batch; no credential is read for the answer."""
+    return stats.merged_by_department(_counted_store(t).statistics()).drop("addresses")
+
+
+@query(
+    oracle(
+        "select dg, malware_name, cast(grouping(dg, malware_name) as integer) as level, "
+        f"{_VOLUME} from recounted group by rollup (dg, malware_name)", "target", also=_RECOUNTED,
+    )
+)
+def stored_stat_rollup(t):
+    """Departments by malware with subtotals, from the same counts."""
+    return stats.merged_department_by_malware(_counted_store(t).statistics()).drop("addresses")
+
+
 # ---- the same lookups beyond the broadcast bound -------------------------------------------------
 
 
@@ -1240,9 +1282,6 @@ def import_feed_large(t):
 
 # ---- statistics (extensions) ---------------------------------------------------------------------
 
-_VOLUME = "count(*) as credentials, cast(sum(count_seen) as bigint) as times_seen"
-
-
 @query(oracle(f"select dg, {_VOLUME} from cred group by 1", "cred"))
 def stat_by_dept(t):
     return stats.by_department(t.cred)

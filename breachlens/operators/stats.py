@@ -8,11 +8,45 @@ from pyspark.sql import functions as F
 
 from ..functions.text import match_key
 
+#: Binary logarithm of a sketch's registers: at most 4 KB each.
+_SKETCH = 12
+
 
 def _volume():
     return [F.count("*").alias("credentials"), F.sum("count_seen").alias("times_seen")]
 
 
+def partials(store: DataFrame, *also) -> DataFrame:
+    """Counts per department and malware (and ``also``) that can be added up: rows, times seen, and a sketch of the addresses, about 1.6 % off."""
+    address = F.hll_sketch_agg(match_key(F.col("email")), F.lit(_SKETCH)).alias("addresses")
+    return store.groupBy(*also, "dg", "malware_name").agg(*_volume(), address)
+
+
+def raised_partials(raised: DataFrame, *also) -> DataFrame:
+    """What counter raises add to ``partials``: ``raised`` has ``n`` beside the credential's columns. A NULL counter stays NULL, so it adds nothing."""
+    times = F.sum(F.when(F.col("count_seen").isNotNull(), F.col("n"))).alias("times_seen")
+    counted = raised.groupBy(*also, "dg", "malware_name").agg(times)
+    return counted.withColumns({"credentials": F.lit(0).cast("long"), "addresses": F.lit(None).cast("binary")})
+
+
+def _merged():
+    address = F.hll_sketch_estimate(F.hll_union_agg("addresses")).alias("addresses")
+    return [F.sum("credentials").alias("credentials"), F.sum("times_seen").alias("times_seen"), address]
+
+
+def merged_by_department(parts: DataFrame) -> DataFrame:
+    """``by_department`` from ``partials``, and about how many addresses."""
+    return parts.groupBy("dg").agg(*_merged())
+
+
+def merged_by_malware(parts: DataFrame) -> DataFrame:
+    return parts.filter("malware_name is not null").groupBy("malware_name").agg(*_merged())
+
+
+def merged_department_by_malware(parts: DataFrame) -> DataFrame:
+    return parts.rollup("dg", "malware_name").agg(F.grouping_id().cast("int").alias("level"), *_merged())
+
+
 def by_department(store: DataFrame) -> DataFrame:
     return store.groupBy("dg").agg(*_volume())
 

@@ -9,6 +9,9 @@ Credentials and raises are partitioned by ``key_bucket``, a hash of the address.
 buckets asked for are read, and an update by id writes only the buckets it touches: its entry says which buckets of
 earlier batches it takes the place of. ``compact`` lays everything out anew and begins a new folder of the log.
 
+With ``statistics=True`` each batch also leaves its counts per bucket, department and malware, so summaries are put together from these and no
+credential is read. They are hidden by bucket like the rows they count, which keeps them right under updates and compactions.
+
 A batch is known by its kind and the caller's text as it is; folders are named by a hash of both and a random part, so no two attempts
 share one, and the store's own entries can't be taken for a caller's batch.
 """
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import changes
+from ..operators import changes, stats
 from ..operators.buckets import BUCKET, beside, bucket_of, buckets_of, marked
 from ..operators.joins import keep_matching
 from ..schemas import LEAK, LEAK_DATA
@@ -35,7 +38,12 @@ BUCKETS = 16
 _KEYED = [T.StructField("email_key", T.StringType()), T.StructField(BUCKET, T.IntegerType())]
 _STORED = T.StructType(LEAK_DATA.fields + _KEYED)
 _RAISES = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), *_KEYED])
-_KINDS = {"credentials": _STORED, "raises": _RAISES, "leaks": LEAK}
+#: What ``stats.partials`` gives. Few rows a batch, so the bucket is a plain column here.
+_PARTIALS = T.StructType([
+    T.StructField(BUCKET, T.IntegerType()), T.StructField("dg", T.StringType()), T.StructField("malware_name", T.StringType()),
+    T.StructField("credentials", T.LongType()), T.StructField("times_seen", T.LongType()), T.StructField("addresses", T.BinaryType()),
+])
+_KINDS = {"credentials": _STORED, "raises": _RAISES, "leaks": LEAK, "partials": _PARTIALS}
 #: Columns that questions and the dedupe compare: files and row groups without the value are passed over.
 _BLOOMED = ("email_key", "email", "password", "password_plain", "password_hashed", "domain")
 _KNOWN = "kind string, batch string, label string, kept string"
@@ -65,9 +73,9 @@ class Entry:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, *, buckets: int = BUCKETS):
-        """``buckets`` holds for a new store; an old one keeps its own."""
-        self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, *, buckets: int = BUCKETS, statistics: bool = False):
+        """``buckets`` holds for a new store; an old one keeps its own. Once counts are kept with batches, every writer keeps them."""
+        self.spark, self.root, self._buckets, self._statistics = spark, root.rstrip("/"), buckets, statistics
         self.journal = Journal(spark, f"{self.root}/log")
 
     # ---- what is visible
@@ -165,6 +173,15 @@ class Store:
     def leaks(self) -> DataFrame:
         return self._read(self._log(), "leaks")
 
+    def statistics(self) -> DataFrame:
+        """Counts per bucket, department and malware, for ``stats.merged_...``: as kept with the batches, or, where one has
+        come without (before the first ``compact`` of an older store), counted from the credentials.
+        """
+        log = self._log()
+        if all("partials" in e.rows for e in log.entries if e.rows.get("credentials") or e.rows.get("raises")):
+            return self._read(log, "partials")
+        return stats.partials(self._credentials(log), BUCKET)
+
     # ---- what is kept with a batch
 
     def _kept(self, what, batch, kind):
@@ -302,8 +319,29 @@ class Store:
             entry["rows"][kind] = n
             if kind != "raises":
                 entry["max_leak_id" if kind == "leaks" else "max_id"] = max(0, top or 0)
+        if self._statistics or any("partials" in e.rows for e in log.entries):
+            entry["rows"]["partials"] = self._write_partials(log, label, entry["rows"])
         return entry
 
+    def _write_partials(self, log, label, written):
+        """Count what a batch adds, from the files it has just written; of the store only the buckets of raised addresses are read."""
+        buckets, watched = self._buckets_of(log), Observation()
+
+        def fresh(kind):
+            return self.spark.read.schema(_KINDS[kind]).parquet(f"{self.root}/{kind}/batch={label}") if written.get(kind) else self._none(kind, buckets)
+
+        added = fresh("credentials")
+        parts = stats.partials(added, BUCKET)
+        if written.get("raises"):
+            on, counted = [BUCKET, "email_key", "id"], ["dg", "malware_name", "count_seen"]
+            raised = fresh("raises").groupBy(*on).agg(F.sum("n").alias("n"))
+            before = marked(self._read(log, "credentials").select(*on, *counted), buckets)
+            keys, keyed = beside(before, raised.select("email_key").distinct(), ["email_key"], "email_key")
+            met = keep_matching(before, keys, keyed, unique=F.col("id")).unionByName(added.select(*on, *counted))
+            parts = parts.unionByName(stats.raised_partials(met.join(raised, on), BUCKET))
+        parts.select(*_PARTIALS.names).observe(watched, F.count("*").alias("n")).write.parquet(f"{self.root}/partials/batch={label}")
+        return watched.get["n"]
+
     def _write(self, kind, label, rows, buckets):
         """Write rows for a batch: (how many, the greatest id), counted on the way."""
         schema, watched = _KINDS[kind], Observation()
